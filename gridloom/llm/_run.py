@@ -101,3 +101,51 @@ def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table
                 held = []
     if held:
         yield pa.Table.from_batches(held)
+
+
+def multi_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+    """Column arrays of each run of two or more equal keys in sorted batches; single rows are passed over."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: _array(batch.column(c)) for c in batch.schema.names}
+        k = cols[key]
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        first_end = int(cuts[0]) if len(cuts) else len(k)
+        if held:
+            if held[key][-1][-1] == k[0]:
+                for c, a in cols.items():
+                    held[c].append(a[:first_end])
+                if not len(cuts):
+                    continue
+            if sum(map(len, held[key])) > 1:
+                yield {c: np.concatenate(a) for c, a in held.items()}
+            begin = first_end if held[key][-1][-1] == k[0] else 0
+        else:
+            begin = 0
+        edges = np.concatenate([[begin], cuts[cuts > begin], [len(k)]])
+        for i in np.flatnonzero(np.diff(edges[:-1]) > 1):
+            yield {c: a[edges[i] : edges[i + 1]] for c, a in cols.items()}
+        held = {c: [a[edges[-2] :]] for c, a in cols.items()}
+    if held and sum(map(len, held[key])) > 1:
+        yield {c: np.concatenate(a) for c, a in held.items()}
+
+
+def _array(col: pa.Array) -> np.ndarray:
+    return col.to_numpy(zero_copy_only=False)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of ``n`` nodes' component, for edges within one task."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, mixing, token_counts
+from gridloom.llm import ann, decontaminate, mixing, ngram_join, quality, token_counts, toxicity
 from gridloom.llm._run import read
 
 
@@ -24,12 +24,38 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("passages")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_benchmark_decontamination, op6_token_counts)
+    f.__name__: f
+    for f in (
+        op2_mix_sources,
+        op3_benchmark_decontamination,
+        op4_quality_classifier,
+        op5_toxicity,
+        op6_token_counts,
+        op7_nearest_neighbours,
+        op9_ngram_jaccard_join,
+    )
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.ORACLE,

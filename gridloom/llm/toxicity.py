@@ -16,8 +16,7 @@ the learning folds, thinned by a hash of the id (documented bounds, so ids and
 words of them can be broadcast). Word shares are counted over all documents.
 Three narrow passes over the texts; texts are never moved. What is shuffled or
 sent to the driver is one row a candidate word and task: words seen in at
-least ``min_docs`` of the bounded toxic sample (rarer ones can't reach a
-positive bound).
+least ``min_docs`` of the bounded toxic sample.
 
 Cases. Null and empty texts have no passages and get the lowest score. With no
 toxic learning rows, or an empty table, every score is the share of toxic
@@ -149,7 +148,7 @@ def _rows(w: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
 
 
 def learn_lexicon(
-    docs: DataFrame, known: DataFrame, min_docs: int = 3, prior_share: float = 0.3, z: float = 2.33, gap: float = 0.2
+    docs: DataFrame, known: DataFrame, min_docs: int = 2, prior_share: float = 1.0, z: float = 1.65, gap: float = 0.2
 ) -> Lexicon:
     """``docs`` is (id, t), ``known`` the bounded (id, y) rows to learn from."""
     toxic = docs.join(F.broadcast(known.filter("y = 1")), "id")
@@ -168,6 +167,8 @@ def learn_lexicon(
     keep = np.isfinite(bound) & (bound > 0)
     share = (got.n.to_numpy()[keep] + alpha[keep]) / max(n_n + a0, 1)
     s = bound[keep]
+    # the expected score must be negative, or there would be no lambda
+    gap = max(gap, 2 * float((share * s).sum()) / max(1 - float(share.sum()), 1e-9))
     return Lexicon(got.w.to_numpy(np.int64).view(np.uint64)[keep], s, karlin_lambda(share, s, gap), gap)
 
 
