@@ -149,3 +149,9 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         if (new == root).all():
             return root
         root = new
+
+
+def sized(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """A written table, marked for broadcast only where its counted rows fit in ``limit`` bytes;
+    beyond it the planner shuffles both sides."""
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -69,10 +69,9 @@ def source_targets(
         t.withColumn("full", F.coalesce(F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("w_left", F.sum("w").over(everything) - F.coalesce(F.sum("w").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("level", (F.lit(share) * F.col("total") - F.lit(cap) * F.col("full")) / F.col("w_left"))
-        # the first source that the level does not fill gives the level of all
-        .withColumn("fits", F.lit(cap) * F.col("source_size") >= F.col("level") * F.col("w"))
-        .withColumn("level", F.min(F.when(F.col("fits"), F.col("level"))).over(everything))
-        .withColumn("target", F.least(F.lit(cap) * F.col("source_size"), F.coalesce(F.col("level") * F.col("w"), F.lit(cap) * F.col("source_size"))))
+        # the level rises until the first source that it does not fill, and falls after it
+        .withColumn("level", F.max("level").over(everything))
+        .withColumn("target", F.least(F.lit(cap) * F.col("source_size"), F.col("level") * F.col("w")))
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return t.select("source", "source_size", F.col("target").cast("double").alias("target"), rate.alias("rate"))
@@ -154,11 +153,8 @@ w AS (
   FROM w
   WINDOW f AS (ORDER BY CAST(source_size AS DOUBLE) / CAST(w AS DOUBLE), source NULLS LAST
                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
-), m AS (
-  SELECT *, min(CASE WHEN 2.0::DOUBLE * source_size >= lvl * w THEN lvl END) OVER () AS level FROM l
 ), t AS (
-  SELECT source, source_size,
-         least(2.0::DOUBLE * source_size, coalesce(level * w, 2.0::DOUBLE * source_size)) AS target FROM m
+  SELECT source, source_size, least(2.0::DOUBLE * source_size, max(lvl) OVER () * w) AS target FROM l
 ), k AS (
   SELECT d.*, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest,
          length(bin(size + 1)) * 100000 + CAST(substr(bin(size + 1), 1, 5) AS INTEGER) AS cls

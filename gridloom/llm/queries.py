@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from gridloom.llm import ann, decontaminate, mixing, ngram_join, quality, token_counts, toxicity
+from pyspark.sql import functions as F
+
+from gridloom.llm import (
+    ann,
+    decontaminate,
+    licenses,
+    line_dedup,
+    mixing,
+    ngram_join,
+    quality,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 from gridloom.llm._run import read
 
 
@@ -16,6 +28,10 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
@@ -41,20 +57,35 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_report(read(spark, sf_dir, "documents"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_groups(read(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/language/id."""
+    docs = read(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.col("doc_id").cast("string"))
+    files = docs.select(F.col("doc_id").alias("id"), path.alias("path"), "text")
+    return licenses.scan(files).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_line_dedup,
         op2_mix_sources,
         op3_benchmark_decontamination,
         op4_quality_classifier,
         op5_toxicity,
         op6_token_counts,
         op7_nearest_neighbours,
+        op8_substring_dedup,
         op9_ngram_jaccard_join,
+        op10_license_scan,
     )
 }
 ORACLES: dict[str, str] = {
