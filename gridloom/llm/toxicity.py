@@ -4,7 +4,8 @@ Tokens are the words of lower-cased text. Token scores are log-odds of toxic
 against other labelled documents with an informative Dirichlet prior (Monroe,
 Colaresi and Quinn 2008): pseudo-counts follow each word's share of the whole
 corpus. A word scores the lower confidence bound of its log-odds where that is
-positive; all other words cost ``gap`` each. Every maximal scoring segment of a
+over ``floor`` (toxic text uses it e times as often, for certain); all other
+words cost ``gap`` each. Every maximal scoring segment of a
 document is found in linear time (Ruzzo and Tompa 1999). A segment's score S
 becomes ``lambda * S - ln(K * n)`` for n words (Karlin and Altschul 1990),
 where lambda solves ``sum p e^(lambda s) = 1`` for the background's word
@@ -43,7 +44,7 @@ from gridloom.llm.quality import learn_flag
 def maximal_segments(at: list[int], score: list[float], gap: float) -> list[tuple[int, int, float]]:
     """(first, end, score) of all maximal scoring segments, where position ``at[i]`` scores
     ``score[i]`` > 0 and every other position -``gap``."""
-    found: list[list[float]] = []  # start, end, sum before it, sum through it
+    found: list[list[float]] = []  # start, end, sum before it, sum through it, nearest earlier one with a smaller sum before
     total, last = 0.0, -1
     for i, s in zip(at, score):
         total -= gap * (i - last - 1) if last >= 0 else 0.0
@@ -52,13 +53,13 @@ def maximal_segments(at: list[int], score: list[float], gap: float) -> list[tupl
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
-                j -= 1
+                j = int(found[j][4])
             if j < 0 or found[j][3] >= right:
-                found.append([start, i + 1, left, right])
+                found.append([start, i + 1, left, right, j])
                 break
             start, left = int(found[j][0]), found[j][2]
             del found[j:]
-    return [(int(a), int(b), r - x) for a, b, x, r in found]
+    return [(int(f[0]), int(f[1]), f[3] - f[2]) for f in found]
 
 
 def karlin_lambda(p: np.ndarray, s: np.ndarray, gap: float) -> float:
@@ -148,7 +149,7 @@ def _rows(w: np.ndarray, *cols: np.ndarray) -> pa.RecordBatch:
 
 
 def learn_lexicon(
-    docs: DataFrame, known: DataFrame, min_docs: int = 2, prior_share: float = 1.0, z: float = 1.65, gap: float = 0.2
+    docs: DataFrame, known: DataFrame, min_docs: int = 2, prior_share: float = 1.0, z: float = 1.65, gap: float = 0.2, floor: float = 1.0
 ) -> Lexicon:
     """``docs`` is (id, t), ``known`` the bounded (id, y) rows to learn from."""
     toxic = docs.join(F.broadcast(known.filter("y = 1")), "id")
@@ -164,7 +165,7 @@ def learn_lexicon(
     with np.errstate(divide="ignore", invalid="ignore"):
         delta = np.log(t / np.maximum(n_t + a0 - t, 1)) - np.log(n / np.maximum(n_n + a0 - n, 1))
         bound = delta - z * np.sqrt(1 / t + 1 / n)
-    keep = np.isfinite(bound) & (bound > 0)
+    keep = np.isfinite(bound) & (bound > floor)
     share = (got.n.to_numpy()[keep] + alpha[keep]) / max(n_n + a0, 1)
     s = bound[keep]
     # the expected score must be negative, or there would be no lambda
