@@ -1,13 +1,15 @@
 """Surface derivatives and shading as SQL expressions over z1..z9.
 
 The text is plain SQL (both Spark's and ANSI engines'), so a formula can be
-put in ``expr``, in a view or in an external check unchanged. ``cs`` is the
-cell size; formulas take it for granted that none of the nine is null.
+put in ``expr``, in a view or in an external check unchanged. Formulas name the
+columns of :func:`prepare`, which are computed once, before them; ``cs`` is the
+cell size. It is taken for granted that none of the nine is null.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 
 def num(x: float) -> str:
@@ -47,15 +49,30 @@ def zevenbergen(cs: float = 1.0) -> dict[str, str]:
     }
 
 
-def slope(cs: float = 1.0, units: str = "degrees", zf: float = 1.0) -> str:
+def prepare(cs: float = 1.0, zf: float = 1.0) -> dict[str, str]:
+    """Formulas of the prepared columns: gx, gy (Horn), ep eq er es et (Evans-Young), zp zq zr zs zt (central differences)."""
     x, y = horn(cs, zf)
+    return {"gx": x, "gy": y} | {f"e{k}": v for k, v in evans(cs).items()} | {f"z{k}": v for k, v in zevenbergen(cs).items()}
+
+
+def needed(text: str, prepared: dict[str, str]) -> dict[str, str]:
+    """The prepared columns that a formula names."""
+    return {k: v for k, v in prepared.items() if re.search(rf"\b{k}\b", text)}
+
+
+EVANS = {k: f"e{k}" for k in "pqrst"}
+CENTRAL = {k: f"z{k}" for k in "pqrst"}
+
+
+def slope(units: str = "degrees") -> str:
+    x, y = "gx", "gy"
     g = f"sqrt({x} * {x} + {y} * {y})"
     return {"degrees": f"degrees(atan({g}))", "radians": f"atan({g})", "percent": f"({g} * 100)"}[units]
 
 
-def aspect(cs: float = 1.0, units: str = "degrees") -> str:
+def aspect(units: str = "degrees") -> str:
     """The compass direction of steepest descent, clockwise from north; null where it is flat."""
-    x, y = horn(cs)
+    x, y = "gx", "gy"
     turn = f"atan2(-{x}, {y})"  # east and north parts of the descent
     rad = f"(CASE WHEN {turn} < 0 THEN {turn} + {num(2 * math.pi)} ELSE {turn} END)"
     out = {
@@ -66,8 +83,8 @@ def aspect(cs: float = 1.0, units: str = "degrees") -> str:
     return f"CASE WHEN abs({x}) < 1e-10 AND abs({y}) < 1e-10 THEN NULL ELSE {out} END"
 
 
-def hillshade(cs: float = 1.0, azimuth: float = 315.0, altitude: float = 45.0, zf: float = 1.0, normalized: bool = False) -> str:
-    x, y = horn(cs, zf)
+def hillshade(azimuth: float = 315.0, altitude: float = 45.0, normalized: bool = False) -> str:
+    x, y = "gx", "gy"
     az, zen = math.radians(450.0 - azimuth), math.radians(90.0 - altitude)
     shade = (
         f"greatest(0E0, least(1E0, ({num(math.cos(zen))} + {num(math.sin(zen))} * ({y} * {num(math.sin(az))} - {x} * {num(math.cos(az))}))"
@@ -98,9 +115,9 @@ def curvatures(d: dict[str, str]) -> dict[str, str]:
     }
 
 
-def curvature(kind: str = "general", method: str = "evans", formula: str = "full", cs: float = 1.0) -> str:
+def curvature(kind: str = "general", method: str = "evans", formula: str = "full") -> str:
     """General, profile or plan curvature, in full or without the denominators."""
-    d = (evans if method == "evans" else zevenbergen)(cs)
+    d = EVANS if method == "evans" else CENTRAL
     if formula == "full":
         c = curvatures(d)
         return {"general": c["mean_h"], "profile": c["vertical_kv"], "plan": c["horizontal_kh"]}[kind]
@@ -112,24 +129,23 @@ def curvature(kind: str = "general", method: str = "evans", formula: str = "full
     return f"(CASE WHEN {g} < 1e-20 THEN 0E0 ELSE -({top}) / {g} END)"
 
 
-def hessian_extremes(cs: float = 1.0) -> tuple[str, str]:
+def hessian_extremes() -> tuple[str, str]:
     """The larger and the smaller eigenvalue of the Hessian by central differences."""
-    d = zevenbergen(cs)
-    r, s, t = d["r"], d["s"], d["t"]
+    r, s, t = "zr", "zs", "zt"
     half = f"sqrt((({r} - {t}) / 2) * (({r} - {t}) / 2) + {s} * {s})"
     return f"(({r} + {t}) / 2 + {half})", f"(({r} + {t}) / 2 - {half})"
 
 
-def shape_index(cs: float = 1.0) -> str:
-    hi, lo = hessian_extremes(cs)
+def shape_index() -> str:
+    hi, lo = hessian_extremes()
     return (
         f"CASE WHEN abs({hi} - {lo}) < 1e-20 THEN (CASE WHEN abs({hi}) < 1e-20 THEN NULL WHEN {hi} > 0 THEN 1E0 ELSE -1E0 END)"
         f" ELSE {num(2 / math.pi)} * atan(({hi} + {lo}) / ({hi} - {lo})) END"
     )
 
 
-def curvedness(cs: float = 1.0) -> str:
-    hi, lo = hessian_extremes(cs)
+def curvedness() -> str:
+    hi, lo = hessian_extremes()
     return f"sqrt(({hi} * {hi} + {lo} * {lo}) / 2)"
 
 
@@ -140,9 +156,9 @@ def normal(cs: float = 1.0) -> tuple[str, str, str]:
     return f"(-{x} / {n})", f"(-{y} / {n})", f"(1 / {n})"
 
 
-def multidirectional_hillshade(cs: float = 1.0, altitude: float = 45.0) -> str:
+def multidirectional_hillshade(altitude: float = 45.0) -> str:
     """Mark's four azimuths, each weighted by its closeness to the aspect."""
-    x, y = horn(cs)
+    x, y = "gx", "gy"
     zen = math.radians(90.0 - altitude)
     top, bottom = [], []
     for azimuth in (225.0, 270.0, 315.0, 360.0):
@@ -156,8 +172,8 @@ def multidirectional_hillshade(cs: float = 1.0, altitude: float = 45.0) -> str:
     return f"floor(least(({' + '.join(top)}) / ({' + '.join(bottom)}), 1E0) * 255 + 0.5E0)"
 
 
-def pennock(cs: float = 1.0, slope_at: float = 3.0, profile_at: float = 0.1, plan_at: float = 0.0) -> str:
-    s, v, h = slope(cs), curvature("profile", cs=cs), curvature("plan", cs=cs)
+def pennock(slope_at: float = 3.0, profile_at: float = 0.1, plan_at: float = 0.0) -> str:
+    s, v, h = slope(), curvature("profile"), curvature("plan")
     side = lambda a, b: f"(CASE WHEN {h} > {num(plan_at)} THEN {a} ELSE {b} END)"
     return (
         f"CAST(CASE WHEN {s} <= {num(slope_at)} THEN 1 WHEN {v} > {num(profile_at)} THEN {side(2, 3)}"
@@ -165,8 +181,8 @@ def pennock(cs: float = 1.0, slope_at: float = 3.0, profile_at: float = 0.1, pla
     )
 
 
-def accumulation_zones(cs: float = 1.0) -> str:
-    h, v = curvature("plan", cs=cs), curvature("profile", cs=cs)
+def accumulation_zones() -> str:
+    h, v = curvature("plan"), curvature("profile")
     return f"CAST(CASE WHEN {h} < 0 AND {v} < 0 THEN 1 WHEN {h} < 0 THEN 2 WHEN {v} < 0 THEN 3 ELSE 4 END AS DOUBLE)"
 
 

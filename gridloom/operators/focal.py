@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.surface import needed, prepare
+
 #: z1..z9, row by row from the north-west; z5 is the cell itself.
 NAMES = [f"z{i}" for i in range(1, 10)]
 
@@ -48,6 +50,18 @@ def pivot3(grid: DataFrame) -> DataFrame:
     return out.withColumn("full", ok)
 
 
+def surface(grid: DataFrame, cs: float = 1.0, zf: float = 1.0, only: str | None = None) -> DataFrame:
+    """:func:`pivot3` with the prepared derivatives (all, or those that the formula ``only`` names); null unless ``full``."""
+    parts = prepare(cs, zf)
+    parts = parts if only is None else needed(only, parts)
+    return pivot3(grid).select("*", *[F.when(F.col("full"), F.expr(t)).alias(k) for k, t in parts.items()])
+
+
+def apply(grid: DataFrame, text: str, cs: float = 1.0, zf: float = 1.0) -> DataFrame:
+    """(r, c, v): a surface formula of the cells whose nine values are all there."""
+    return surface(grid, cs, zf, text).select("r", "c", F.when(F.col("full"), F.expr(text)).alias("v"))
+
+
 def moments(grid: DataFrame, k: int) -> DataFrame:
     """r, c, v with the square window's s (sum), q (sum of squares), n (values), cells, lo and hi."""
     parts = {

@@ -15,11 +15,34 @@ from gridloom.plans.registry import r6, register, rounded
 Z = with_("g", nine())
 
 
+PREP = sf.prepare()
+
+
+def prepared(text: str) -> str:
+    """SQL ``y``: the nine neighbours and the derivatives that a formula names."""
+    cols = "".join(f", CASE WHEN full9 THEN {t} END {k}" for k, t in sf.needed(text, PREP).items())
+    return with_("g", nine(), f"y AS (SELECT *{cols} FROM z)")
+
+
 def three(name: str, text: str, full: bool = True, extra: str = "") -> None:
     """A formula over z1..z9 of cells whose nine values are all there (or, if not ``full``, any)."""
     expr = r6(f"CASE WHEN {'full9' if full else 'true'} {extra} THEN {text} END")
-    spark_expr = expr.replace("full9", "full")
-    register(name, lambda s, d: focal.pivot3(g_qty(s, d)).select("r", "c", F.expr(spark_expr).alias("v")), Z + f"SELECT r, c, {expr} AS v FROM z")
+    register(
+        name,
+        lambda s, d: focal.surface(g_qty(s, d), only=text).select("r", "c", F.expr(expr.replace("full9", "full")).alias("v")),
+        prepared(text) + f"SELECT r, c, {expr} AS v FROM y",
+    )
+
+
+def several(name: str, parts: dict[str, str]) -> None:
+    """Several formulas from one pass."""
+    text = " ".join(parts.values())
+    out = {k: r6(f"CASE WHEN full9 THEN {t} END") for k, t in parts.items()}
+    register(
+        name,
+        lambda s, d: focal.surface(g_qty(s, d), only=text).select("r", "c", *[F.expr(t.replace("full9", "full")).alias(k) for k, t in out.items()]),
+        prepared(text) + f"SELECT r, c, {', '.join(f'{t} AS {k}' for k, t in out.items())} FROM y",
+    )
 
 
 for units in ("degrees", "percent", "radians"):
@@ -27,8 +50,8 @@ for units in ("degrees", "percent", "radians"):
     if units != "percent":
         three(f"aspect_{units}", sf.aspect(units=units))
 three("aspect_compass", sf.aspect(units="compass"))
-three("northness", f"cos({sf.aspect(units='radians')})")
-three("eastness", f"sin({sf.aspect(units='radians')})")
+three("northness", f"cos({sf.aspect('radians')})")
+three("eastness", f"sin({sf.aspect('radians')})")
 three("hillshade", sf.hillshade())
 three("hillshade_normalized", sf.hillshade(normalized=True))
 three("multidirectional_hillshade", sf.multidirectional_hillshade())
@@ -36,27 +59,15 @@ for kind in ("general", "profile", "plan"):
     three(f"curvature_{kind}", sf.curvature(kind))
     three(f"curvature_{kind}_zt", sf.curvature(kind, method="zevenbergen"))
     three(f"curvature_{kind}_simplified", sf.curvature(kind, formula="simplified"))
-CURVES = sf.curvatures(sf.evans())
+CURVES = sf.curvatures(sf.EVANS)
 for kind, text in CURVES.items():
     three(f"advanced_curvature_{kind}", text)
-for method, parts in (("evans_young", sf.evans()), ("zevenbergen_thorne", sf.zevenbergen())):
-    cols = ", ".join(f"{r6(f'CASE WHEN full9 THEN {t} END')} AS {k}" for k, t in parts.items())
-    register(
-        method,
-        lambda s, d, parts=parts: focal.pivot3(g_qty(s, d)).select("r", "c", *[F.expr(r6(f"CASE WHEN full THEN {t} END")).alias(k) for k, t in parts.items()]),
-        Z + f"SELECT r, c, {cols} FROM z",
-    )
-register(
-    "all_curvatures",
-    lambda s, d: focal.pivot3(g_qty(s, d)).select("r", "c", *[F.expr(r6(f"CASE WHEN full THEN {t} END")).alias(k) for k, t in CURVES.items()]),
-    Z + "SELECT r, c, " + ", ".join(f"{r6(f'CASE WHEN full9 THEN {t} END')} AS {k}" for k, t in CURVES.items()) + " FROM z",
-)
+several("all_curvatures", CURVES)
+several("evans_young", {f"{k}_": f"e{k}" for k in "pqrst"})
+several("zevenbergen_thorne", {f"{k}_": f"z{k}" for k in "pqrst"})
+several("horn", {"p_": "gx", "q_": "gy"})
+several("northness_eastness", {"northness": f"cos({sf.aspect('radians')})", "eastness": f"sin({sf.aspect('radians')})"})
 hx, hy = sf.horn()
-register(
-    "horn",
-    lambda s, d: focal.pivot3(g_qty(s, d)).select("r", "c", *[F.expr(r6(f"CASE WHEN full THEN {t} END")).alias(k) for k, t in (("p", hx), ("q", hy))]),
-    Z + f"SELECT r, c, {r6(f'CASE WHEN full9 THEN {hx} END')} AS p, {r6(f'CASE WHEN full9 THEN {hy} END')} AS q FROM z",
-)
 register(
     "extract_window",
     lambda s, d: focal.pivot3(g_qty(s, d)).filter("full").drop("full"),
