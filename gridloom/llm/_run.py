@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -30,8 +32,44 @@ def workers_see_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    workers_see_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    """``mapInArrow``, after which the worker gives its free memory back, as it may idle beside other tasks."""
+    spark = df.sparkSession
+    workers_see_package(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from gathered(fn(batches))
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+#: Rows of an Arrow batch at most, so that batches of long texts stay small on both sides.
+BATCH_ROWS = 2_000
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """Joins many small batches into fewer."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for b in batches:
+        if not held and b.num_rows >= BATCH_ROWS:
+            yield b
+            continue
+        held.append(b)
+        n += b.num_rows
+        if n >= BATCH_ROWS or len(held) >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -155,3 +193,21 @@ def sized(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """A written table, marked for broadcast only where its counted rows fit in ``limit`` bytes;
     beyond it the planner shuffles both sides."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns as one struct), doc_id and text: no name of the table's own can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` back from ``row``, with ``text`` as it is in ``df`` and n_chars, if there, after it."""
+    out = []
+    for f in docs.schema:
+        col = F.col(f"row.`{f.name}`")
+        if f.name == "text":
+            col = F.col("text")
+        elif f.name == "n_chars":
+            col = F.length("text").cast(f.dataType)
+        out.append(col.alias(f.name))
+    return df.select(*out)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow
+from gridloom.llm._run import map_arrow, packed
 
 BLOCK = 16 << 20
 TABLE = 1 << 18
@@ -180,12 +180,12 @@ def _scan(shared: Broadcast, columns: list[str], first_pass: bool):
 
 
 def find_occurrences(
-    docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = (), block_bytes: int = BLOCK
+    docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK
 ) -> DataFrame:
-    """doc_id, text and ``keep`` of every row, with _words (count), _spans (word ranges of
+    """The columns of ``docs``, which has a text, with _words (count), _spans (word ranges of
     occurrences, flat) and _items (ids of the items found)."""
     spark = docs.sparkSession
-    out = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
+    out = docs
     kinds = {f.name: f.dataType.simpleString() for f in out.schema}
     columns = [*kinds, "_words", "_spans", "_items"]
     schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items()) + ", _words long, _spans array<long>, _items array<string>"
@@ -211,7 +211,7 @@ def _hit_words(spans: np.ndarray) -> int:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every document."""
-    found = find_occurrences(docs, benchmark, window).drop("text")
+    found = find_occurrences(docs.select("doc_id", "text"), benchmark, window).drop("text")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -235,8 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The documents in which no benchmark window occurs, with all their columns."""
-    found = find_occurrences(docs, benchmark, window, keep=tuple(docs.columns))
-    return found.filter(F.size("_spans") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = find_occurrences(packed(docs).drop("doc_id"), benchmark, window)
+    return found.filter(F.size("_spans") == 0).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

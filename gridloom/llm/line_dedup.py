@@ -25,8 +25,8 @@ texts are not shuffled for it; a fuller filter only lets more lines through.
 Cases. A null text stays null, an empty text empty. A document whose lines all
 go stays, with an empty text. A repeated row (same id and text) is one document
 and both rows keep the same lines. Rows with a null id are unchanged and take
-no part. Empty tables give no rows. All other columns are kept; the operator's
-own columns start with an underscore.
+no part. Empty tables give no rows. All other columns are kept, whatever their
+names, as one struct that travels beside the text.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow, multi_runs, sized, written
+from gridloom.llm._run import map_arrow, multi_runs, packed, sized, unpacked, written
 from gridloom.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 12
@@ -182,10 +182,16 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
     at = [F.pmod(F.col("id"), F.lit(1 << bits)), F.pmod(F.shiftrightunsigned("id", bits), F.lit(1 << bits))]
     rows = ids.select(F.explode(F.array(*at)).alias("at"))
     rows = rows.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("m"))
-    got = rows.toPandas()  # at most 2 ** (bits - 6) rows
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
-    return out.view(np.uint64)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(1 << (bits - 6), np.int64)
+        for b in batches:
+            out[b.column("w").to_numpy()] = b.column("m").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["words"])
+
+    # one row of a fixed size, whatever the number of ids
+    got = map_arrow(rows.select(F.col("w").cast("long"), F.col("m").cast("long")).coalesce(1), join, "words binary").first()
+    return np.frombuffer(got["words"], np.uint64)
 
 
 def lines_of(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
@@ -311,23 +317,23 @@ def cut(df: DataFrame, text_col: str, cuts_col: str) -> DataFrame:
     return map_arrow(df, run, ", ".join(f"`{c}` {kinds[c]}" for c in names))
 
 
+def with_cuts(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Adds ``cuts`` to rows (doc_id, text, ...) by id and text."""
+    gone = gone.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
+    match = (F.col("doc_id") == F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_th"))
+    return rows.join(sized(gone, 200), match, "left").drop("cut_id", "cut_th")
+
+
 def dedup_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """The documents without their repeated lines; all columns are kept, and n_chars, if there, follows the text."""
-    gone = removals(docs, t).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("cuts").alias("_cuts"))
-    match = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    out = cut(docs.join(sized(gone, 200), match, "left").drop("_id", "_th"), "text", "_cuts")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(cut(with_cuts(packed(docs), removals(docs, t)), "text", "cuts"), docs)
 
 
 def line_report(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """doc_id, n_lines (that hold a word), n_removed, removed (first bytes) and text_sha256 of what is left."""
-    gone = removals(docs, t).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("cuts").alias("_cuts"))
-    match = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))
-    out = docs.select("doc_id", "text").join(sized(gone, 200), match, "left").select("doc_id", "text", "_cuts")
+    out = with_cuts(docs.select("doc_id", "text"), removals(docs, t))
     lines = F.regexp_count("text", F.lit("[^\n]*[0-9A-Za-z\u0080-\U0010ffff][^\n]*"))
     out = out.withColumn("n_lines", F.coalesce(lines.cast("long"), F.lit(0).cast("long")))
-    removed = F.coalesce(F.transform("_cuts", lambda x: x["first"]), F.array().cast("array<long>"))
-    out = cut(out.withColumns({"removed": removed, "n_removed": F.size(removed).cast("long")}), "text", "_cuts")
+    removed = F.coalesce(F.transform("cuts", lambda x: x["first"]), F.array().cast("array<long>"))
+    out = cut(out.withColumns({"removed": removed, "n_removed": F.size(removed).cast("long")}), "text", "cuts")
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))

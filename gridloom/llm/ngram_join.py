@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import local_roots, map_arrow, multi_runs, runs, sorted_groups, written
+from gridloom.llm._run import local_roots, map_arrow, multi_runs, packed, runs, sized, sorted_groups, written
 from gridloom.llm.components import components
 
 _U = np.uint64
@@ -294,13 +294,12 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that of the least id, with all its columns; rows with a null id stay."""
     o = {"n": 5, "t": 0.8, "depth": 3, "recall": 0.995, "block": 512, "brute": 1024} | options
     marked = _grouped(docs, **o)
-    own = [F.col(f"`{c}`") for c in docs.columns]
     # drop is by (id, text); of rows that are equal in both, one stays
-    lost = marked.filter("doc_id <> group_id").select("doc_id", "th").distinct()
-    twice = marked.filter("doc_id = group_id").groupBy("group_id").agg(F.count("*").alias("k"), F.min("th").alias("th")).filter("k > 1")
-    out = docs.withColumn("_th", F.xxhash64("text")).alias("d")
-    out = out.join(lost.alias("l"), F.expr("d.doc_id = l.doc_id and d._th = l.th"), "left_anti")
+    lost = written(marked.filter("doc_id <> group_id").select(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th")).distinct())
+    twice = marked.filter("doc_id = group_id").groupBy("group_id").agg(F.count("*").alias("k")).filter("k > 1")
+    out = packed(docs).withColumn("th", F.xxhash64("text"))
+    out = out.join(sized(lost, 40), F.expr("doc_id = lost_id AND th = lost_th"), "left_anti")
     if twice.take(1):
-        nth = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(1)))
-        out = out.withColumn("_n", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).filter("_n = 1").alias("d")
-    return out.select(*own)
+        nth = F.row_number().over(Window.partitionBy("doc_id", "th").orderBy(F.lit(1)))
+        out = out.withColumn("nth", F.when(F.col("doc_id").isNull(), 1).otherwise(nth)).filter("nth = 1")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow, written
+from gridloom.llm._run import map_arrow, packed, sized, written
 
 THRESHOLD = 0.7
 _UPPER = tx.class_table(bytes(range(65, 91)))
@@ -223,8 +223,10 @@ def scores(
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **options) -> DataFrame:
     """The documents that the classifier accepts, with all their columns; rows with a null id stay.
 
-    Ids of rejected documents are joined back, so texts move only where the
-    planner finds that table too large to broadcast.
+    Ids of rejected documents are joined back, so texts move only where that
+    table is too large to broadcast.
     """
-    bad = scores(docs, labels, threshold=threshold, **options).filter("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = scores(docs, labels, threshold=threshold, **options).filter("predicted = 0 AND doc_id IS NOT NULL")
+    bad = written(bad.select(F.col("doc_id").alias("bad_id")).distinct())
+    out = packed(docs).join(sized(bad, 16), F.expr("doc_id = bad_id"), "left_anti")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

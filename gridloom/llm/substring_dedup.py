@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow, multi_runs, sized, written
+from gridloom.llm._run import map_arrow, multi_runs, packed, sized, unpacked, written
 from gridloom.llm.line_dedup import cut
 
 MIN_WORDS = 20
@@ -175,10 +175,7 @@ def _with_cuts(docs: DataFrame, gone: DataFrame, min_words: int, lines: bool) ->
 
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
     """The documents without repeated units; all columns are kept, and n_chars, if there, follows the text."""
-    out = cut(_with_cuts(docs, repeats(docs, min_words, lines), min_words, lines), "text", "_cuts")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(cut(_with_cuts(packed(docs), repeats(docs, min_words, lines), min_words, lines), "text", "_cuts"), docs)
 
 
 def repeat_report(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
