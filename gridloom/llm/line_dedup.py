@@ -191,7 +191,7 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
 
     # one row of a fixed size, whatever the number of ids
     got = map_arrow(rows.select(F.col("w").cast("long"), F.col("m").cast("long")).coalesce(1), join, "words binary").first()
-    return np.frombuffer(got["words"], np.uint64)
+    return np.frombuffer(got["words"], np.uint64) if got else np.zeros(1 << (bits - 6), np.uint64)
 
 
 def lines_of(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
