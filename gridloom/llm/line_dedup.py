@@ -11,11 +11,13 @@ equal in lower case are one line from the start, identified by a 64-bit hash.
    of 5 rows with probability 0.99, at 0.3 with 0.03.
 2. Stars. Within a batch, and then globally, the lines of a bucket are linked
    to its least line. A bucket that a third of all lines fall in is so reduced
-   to one row a batch before the shuffle. No pairs within a bucket are emitted.
+   to one row a batch before the shuffle. A row carries 60 bits of the minima;
+   only lines that agree on so many as similarity 0.8 gives (less three standard
+   errors) are linked, others lead stars of their own. No pairs are emitted.
 3. Checks. Each link is checked by the exact Jaccard similarity of the lines'
-   bytes: first one link a line, then those that still join two components,
-   then, in buckets whose lines did not all join their star, new stars among
-   the lines that are left, until none is left.
+   bytes: first one link a line, then those that still join two components;
+   then, in buckets whose lines did not all join their star, one line of each
+   component is compared with those of the others, a bucket a task.
 4. Union-find on the checked links; the earliest occurrence (by doc_id, then
    place) of each component stays, all others are cut out with their line feed.
 
@@ -31,6 +33,8 @@ names, as one struct that travels beside the text.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,8 +81,8 @@ def line_set(line: bytes) -> np.ndarray:
     return np.unique(code[: max(len(low) - SHINGLE + 1, 1)])
 
 
-def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """``BANDS`` bucket keys of each line."""
+def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``BANDS`` bucket keys of each line, and its sketch: a bit of each minimum above four bits of size."""
     n = len(start)
     sizes = np.maximum(end - start - SHINGLE + 1, 1)
     # a short line's one shingle ends with the line
@@ -100,22 +104,36 @@ def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     place = np.maximum.accumulate(place, 1)
     value = np.take_along_axis(twice, np.maximum(place, 0), 1)
     gap = (np.arange(2 * _BINS)[None, :] - place).astype(np.uint64)
-    least = (value + gap * _U(0x9E3779B97F4A7C15))[:, ::-1][:, :_BINS].reshape(n, BANDS, ROWS)
+    least = (value + gap * _U(0x9E3779B97F4A7C15))[:, ::-1][:, :_BINS]
+    bits = (tx.splitmix(least) & _U(1)) << (np.arange(_BINS, dtype=np.uint64) + _U(4))[None, :]
+    sketch = np.bitwise_or.reduce(bits, 1) | np.minimum(sizes // 4, 15).astype(np.uint64)
+    least = least.reshape(n, BANDS, ROWS)
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
     for r in range(ROWS):
         key = tx.splitmix(key * _U(0xF1357AEA2E62A9C5) + least[:, :, r])
-    return key
+    return key, sketch
 
 
-def _edges(key: np.ndarray, line: np.ndarray, rep: np.ndarray | None) -> pa.RecordBatch:
-    b = pa.nulls(len(key), pa.int64()) if rep is None else pa.array(rep)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), b], names=["key", "line", "rep"])
+#: Bits of 60 on which sketches must agree, by the smaller size class: three standard errors under what
+#: similarity 0.8 gives, where a line of few shingles has only so many bins of its own.
+_AGREE = np.array([math.floor(_BINS * (0.9 - 3 * math.sqrt(0.09 / min(max(4 * k, 2), _BINS)))) for k in range(16)])
+
+
+def sketches_agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    same = _BINS - np.bitwise_count((x ^ y) >> _U(4)).astype(np.int64)
+    return same >= _AGREE[np.minimum(x & _U(15), y & _U(15)).astype(np.int64)]
+
+
+def _edges(key: np.ndarray, line: np.ndarray, rep: np.ndarray | None, sketch: np.ndarray | None = None) -> pa.RecordBatch:
+    a, b = (pa.nulls(len(key), pa.int64()) if x is None else pa.array(x) for x in (rep, sketch))
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), a, b], names=["key", "line", "rep", "sketch"])
 
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, null) of each batch's buckets' least lines, and (key, line, rep) of their other lines."""
+    """(key, line, null, sketch) of each batch's lines, but (key, line, rep, null) of those that agree
+    with their bucket's least line in the batch."""
     for batch in batches:
-        keys, lines = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        keys, lines, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         seen = np.zeros(0, np.uint64)
         for _, _, raw, off in tx.chunks(batch.column(0)):
             low, start, end, _, ids = line_spans(raw, off)
@@ -124,39 +142,60 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, at = ids[new], at[new]
             seen = np.concatenate([seen, ids])
             if len(ids):
-                keys.append(band_keys(low, start[at], end[at]).ravel().view(np.int64))
+                key, sketch = band_keys(low, start[at], end[at])
+                keys.append(key.ravel().view(np.int64))
                 lines.append(np.repeat(ids.view(np.int64), BANDS))
-        key, line = np.concatenate(keys), np.concatenate(lines)
+                marks.append(np.repeat(sketch, BANDS))
+        key, line, mark = map(np.concatenate, (keys, lines, marks))
         order = np.lexsort((line, key))
-        key, line = key[order], line[order]
-        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
-        yield _edges(key[head], line[head], None)
-        if not head.all():
-            rep = line[head][np.cumsum(head) - 1]
-            yield _edges(key[~head], line[~head], rep[~head])
+        key, line, mark = key[order], line[order], mark[order]
+        first = _first_of_run(key)
+        near = (first != np.arange(len(key))) & sketches_agree(mark, mark[first]) if len(key) else np.zeros(0, bool)
+        yield _edges(key[~near], line[~near], None, mark[~near].view(np.int64))
+        if near.any():
+            yield _edges(key[near], line[near], line[first[near]])
+
+
+def _first_of_run(key: np.ndarray) -> np.ndarray:
+    head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    return np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
+
+
+def _stars(key: np.ndarray, line: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links within whole runs: to the first line of the run, or to the first that agrees of those left."""
+    first = _first_of_run(key)
+    rest = np.flatnonzero(first != np.arange(len(key)))
+    while len(rest):
+        lead = first[rest]
+        near = sketches_agree(mark[rest], mark[lead])
+        on = near & (line[rest] != line[lead])
+        if on.any():
+            yield _edges(key[rest[on]], line[rest[on]], line[lead[on]])
+        rest = rest[~near]
+        if len(rest):
+            first = first.copy()
+            first[rest] = rest[_first_of_run(key[rest])]
+            rest = rest[first[rest] != rest]
 
 
 def global_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, rep) from bucket rows sorted by key: links to each bucket's least line."""
-    passed: list[pa.RecordBatch] = []
-
-    def heads() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            null = b.column("rep").is_null()
-            if b.column("rep").null_count < b.num_rows:
-                passed.append(b.filter(pc.invert(null)))
-                b = b.filter(null)
-            yield b.select(["key", "line"])
-
-    for g in multi_runs(heads(), "key"):
-        while passed:
-            yield passed.pop()
-        rep = g["line"].min()
-        other = np.unique(g["line"][g["line"] != rep])
-        if len(other):
-            yield _edges(np.full(len(other), g["key"][0]), other, np.full(len(other), rep))
-    while passed:
-        yield passed.pop()
+    """(key, line, rep) from bucket rows sorted by key: links of lines whose sketches agree, as stars."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        null = b.column("rep").is_null()
+        if b.column("rep").null_count < b.num_rows:
+            yield b.filter(pc.invert(null)).select(["key", "line", "rep", "sketch"])
+            b = b.filter(null)
+        if not b.num_rows:
+            continue
+        new = [b.column("key").to_numpy(), b.column("line").to_numpy(), b.column("sketch").to_numpy().view(np.uint64)]
+        held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+        last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
+        if last:
+            yield from _stars(*(x[:last] for x in held))
+            held = [x[last:] for x in held]
+    if held is not None:
+        yield from _stars(*held)
 
 
 def _similar(t: float):
@@ -168,10 +207,7 @@ def _similar(t: float):
             for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
                 if rep_ids[i] != kept_id:
                     kept_id, kept_set = rep_ids[i], line_set(y)
-                s = line_set(x)
-                at = np.minimum(np.searchsorted(kept_set, s), len(kept_set) - 1)
-                both = int((kept_set[at] == s).sum())
-                ok[i] = both >= t * (len(s) + len(kept_set) - both) - 1e-9
+                ok[i] = _alike(line_set(x), kept_set, t)
             yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(ok)), b.column("rep").filter(pa.array(ok))], names=["a", "b"])
 
     return check
@@ -223,11 +259,11 @@ def lines_of(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
 
 def near_lines(texts: DataFrame, t: float = 0.8) -> DataFrame:
     """(node, root) of every line that is near another, by line ids."""
-    rows = map_arrow(texts, bucket_rows, "key long, line long, rep long")
+    rows = map_arrow(texts, bucket_rows, "key long, line long, rep long, sketch long")
     dealt = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.col("line"))  # stars made already need no meeting
     rows = rows.withColumn("to", dealt)
     rows = rows.repartition("to").drop("to").sortWithinPartitions("key", "line")
-    links = written(map_arrow(rows, global_stars, "key long, line long, rep long"))
+    links = written(map_arrow(rows, global_stars, "key long, line long, rep long, sketch long").select("key", "line", "rep"))
     ids = links.select(F.col("line").alias("id")).unionByName(links.select(F.col("rep").alias("id"))).distinct()
     lines = written(lines_of(texts, ids))
 
@@ -236,29 +272,52 @@ def near_lines(texts: DataFrame, t: float = 0.8) -> DataFrame:
         p = p.join(lines.select(F.col("id").alias("rep"), F.col("bytes").alias("y")), "rep")
         return map_arrow(p.select("line", "rep", "x", "y"), _similar(t), "a long, b long")
 
+    def star(edges: DataFrame) -> DataFrame:
+        return components(edges.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Links whose ends are in different components so far, with those."""
+        root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        rows = rows.join(root("line"), "line", "left").join(root("rep"), "rep", "left")
+        rows = rows.withColumns({"line_root": F.coalesce("line_root", "line"), "rep_root": F.coalesce("rep_root", "rep")})
+        return rows.filter("line_root <> rep_root")
+
     one = links.groupBy("line").agg(F.min("rep").alias("rep"))
     joined = components(check(one))
-    tried = one
-    while True:
-        root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))  # noqa: E731, B023
-        apart = (
-            links.join(root("line"), "line", "left").join(root("rep"), "rep", "left")
-            .filter(F.coalesce("line_root", "line") != F.coalesce("rep_root", "rep"))
-            .select("key", "line", "rep", F.coalesce("line_root", "line").alias("line_root"))
-        )
-        if tried is not None:
-            pairs = apart.select("line", "rep").distinct().join(tried, ["line", "rep"], "left_anti")
-            tried = None
-        else:  # new stars among the lines that did not join their bucket's, one line a component
-            apart = apart.groupBy("key", "line_root").agg(F.min("line").alias("line"))
-            star = apart.groupBy("key").agg(F.min("line").alias("rep"), F.count("*").alias("n")).filter("n > 1").drop("n")
-            links = written(apart.join(star, "key").filter("line <> rep").select("key", "line", "rep"))
-            if not links.take(1):
-                return joined
-            pairs = links.select("line", "rep").distinct()
-        good = written(check(pairs))
-        if good.take(1):
-            joined = components(good.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    joined = star(check(apart(links.join(one, ["line", "rep"], "left_anti")).select("line", "rep").distinct()))
+    # buckets that a star did not join: one line of each component, compared with each other in one task a bucket
+    left = apart(links)
+    left = left.select("key", "line_root", "line").unionByName(left.select("key", F.col("rep_root").alias("line_root"), F.col("rep").alias("line")))
+    left = left.groupBy("key", "line_root").agg(F.min("line").alias("line"))
+    left = left.join(lines.select(F.col("id").alias("line"), "bytes"), "line").select("key", "line", "bytes")
+    left = left.repartition("key").sortWithinPartitions("key", "line")
+    return star(map_arrow(left, _pairs_within(t), "a long, b long").distinct())
+
+
+def _pairs_within(t: float):
+    """Links (a, b) within each run of one key: a line is compared with the first of each group found so far."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in multi_runs(batches, "key"):
+            heads: list[tuple[int, np.ndarray]] = []
+            a, b = [], []
+            for i, x in zip(g["line"].tolist(), g["bytes"]):
+                s = line_set(x)
+                near = [j for j, h in heads if _alike(s, h, t)]
+                a += [i] * len(near)
+                b += near
+                if not near:
+                    heads.append((i, s))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _alike(x: np.ndarray, y: np.ndarray, t: float) -> bool:
+    if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= t * (len(x) + len(y) - both) - 1e-9
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -295,6 +354,16 @@ def removals(docs: DataFrame, t: float = 0.8) -> DataFrame:
     return written(gone)
 
 
+def without(raw: bytes, cuts) -> bytes:
+    """``raw`` without byte ranges, each with its line feed."""
+    at, parts = 0, []
+    for c in cuts or ():
+        parts.append(raw[at : c["first"]])
+        at = c["end"] + (raw[c["end"] : c["end"] + 1] == b"\n")
+    parts.append(raw[at:])
+    return b"".join(parts)
+
+
 def cut(df: DataFrame, text_col: str, cuts_col: str) -> DataFrame:
     """Replaces ``text_col`` by the text without the byte ranges of ``cuts_col``, each with its line feed."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -305,12 +374,7 @@ def cut(df: DataFrame, text_col: str, cuts_col: str) -> DataFrame:
             text, cuts = b.column(text_col).to_pylist(), b.column(cuts_col).to_pylist()
             for i, c in enumerate(cuts):
                 if c:
-                    raw, at, parts = text[i].encode(), 0, []
-                    for s in c:
-                        parts.append(raw[at : s["first"]])
-                        at = s["end"] + (raw[s["end"] : s["end"] + 1] == b"\n")
-                    parts.append(raw[at:])
-                    text[i] = b"".join(parts).decode()
+                    text[i] = without(text[i].encode(), c).decode()
             new = pa.array(text, pa.string())
             yield pa.RecordBatch.from_arrays([new if c == text_col else b.column(c) for c in names], names=names)
 
@@ -331,9 +395,20 @@ def dedup_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
 
 def line_report(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """doc_id, n_lines (that hold a word), n_removed, removed (first bytes) and text_sha256 of what is left."""
-    out = with_cuts(docs.select("doc_id", "text"), removals(docs, t))
-    lines = F.regexp_count("text", F.lit("[^\n]*[0-9A-Za-z\u0080-\U0010ffff][^\n]*"))
-    out = out.withColumn("n_lines", F.coalesce(lines.cast("long"), F.lit(0).cast("long")))
-    removed = F.coalesce(F.transform("cuts", lambda x: x["first"]), F.array().cast("array<long>"))
-    out = cut(out.withColumns({"removed": removed, "n_removed": F.size(removed).cast("long")}), "text", "cuts")
-    return out.select("doc_id", "n_lines", "n_removed", "removed", F.sha2("text", 256).alias("text_sha256"))
+    out = with_cuts(docs.select("doc_id", "text"), removals(docs, t)).select("doc_id", "text", "cuts")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(line_spans(raw, off)[3]) for _, _, raw, off in tx.chunks(b.column("text")))])
+            removed = [[c["first"] for c in x or ()] for x in b.column("cuts").to_pylist()]
+            left = [None if t is None else without(t.encode(), x) for t, x in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    b.column("doc_id"), pa.array(n), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int64())),
+                    pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in left], pa.string()),
+                ],
+                names=["doc_id", "n_lines", "n_removed", "removed", "text_sha256"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(out, run, f"doc_id {kind}, n_lines long, n_removed long, removed array<long>, text_sha256 string")
