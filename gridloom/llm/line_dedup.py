@@ -42,6 +42,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from gridloom.llm import _text as tx
 from gridloom.llm._run import map_arrow, multi_runs, packed, sized, unpacked, written
@@ -54,24 +55,24 @@ _U = np.uint64
 _NONE = _U(0xFFFFFFFFFFFFFFFF)
 
 
-def line_spans(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lowered bytes, start, end, lines before each row, and ids of the lines that hold a word."""
+def line_spans(raw: np.ndarray, off: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lowered bytes, start, end, lines before each row, and (if wanted) ids of the lines that hold a word."""
     low = tx.LOWER[raw]
     start, end, first = tx.spans(low, off, _LINE)
-    words = np.concatenate([[0], np.cumsum(tx.WORD[low])])
-    some = words[end] > words[start]
-    first = np.concatenate([[0], np.cumsum(some)])[first]
-    start, end = start[some], end[some]
-    return low, start, end, first, tx.span_hashes(low, start, end)
+    if len(start):
+        some = np.maximum.reduceat(tx.WORD[low].view(np.uint8), start) > 0  # a line and the line feeds after it
+        first = np.concatenate([[0], np.cumsum(some)])[first]
+        start, end = start[some], end[some]
+    view = memoryview(low.tobytes())
+    spots = zip(start.tolist(), end.tolist()) if ids else ()
+    return low, start, end, first, np.fromiter((xxh3_64_intdigest(view[a:b]) for a, b in spots), np.uint64)
 
 
 def _codes(low: np.ndarray) -> np.ndarray:
     """The five bytes from each place on, as one number."""
-    wide = np.concatenate([low, np.zeros(SHINGLE - 1, np.uint8)]).astype(np.uint64)
-    out = wide[: len(low)].copy()
-    for k in range(1, SHINGLE):
-        out |= wide[k : k + len(low)] << _U(8 * k)
-    return out
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low),), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    return eight & _U((1 << (8 * SHINGLE)) - 1)
 
 
 def line_set(line: bytes) -> np.ndarray:
@@ -85,26 +86,32 @@ def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     """``BANDS`` bucket keys of each line, and its sketch: a bit of each minimum above four bits of size."""
     n = len(start)
     sizes = np.maximum(end - start - SHINGLE + 1, 1)
-    # a short line's one shingle ends with the line
     code = _codes(low)
     short = end - start < SHINGLE
-    at = np.repeat(start, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    v = code[at]
-    if short.any():
+    edge = np.zeros(len(low) + 1, np.int8)
+    edge[start] = 1
+    edge[start + sizes] -= 1
+    v = code[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+    if short.any():  # a short line's one shingle ends with the line
         place = (np.cumsum(sizes) - sizes)[short]
         v[place] &= (_U(1) << (_U(8) * (end - start)[short].astype(np.uint64))) - _U(1)
-    v = tx.splitmix(v)
+    v *= _U(0xD6E8FEB86659FD93)
+    v ^= v >> _U(32)
+    v *= _U(0xD6E8FEB86659FD93)
     cell = np.repeat(np.arange(n) * _BINS, sizes) + ((v >> _U(32)) * _U(_BINS) >> _U(32)).astype(np.int64)
     least = np.full(n * _BINS, _NONE)
     np.minimum.at(least, cell, v)
+    # an empty bin takes the next full one of its line, moved by the distance
+    gaps = np.flatnonzero(least == _NONE)
+    base, row, own = least.copy(), gaps // _BINS * _BINS, gaps % _BINS
+    todo, far = np.arange(len(gaps)), 0
+    while len(todo):
+        far += 1
+        value = base[row[todo] + (own[todo] + far) % _BINS]
+        full = value != _NONE
+        least[gaps[todo[full]]] = value[full] + _U(far * 0x9E3779B97F4A7C15 % 2**64)
+        todo = todo[~full]
     least = least.reshape(n, _BINS)
-    # an empty bin takes the next full one, moved by the distance
-    twice = np.concatenate([least, least], 1)[:, ::-1]
-    place = np.where(twice != _NONE, np.arange(2 * _BINS)[None, :], -1)
-    place = np.maximum.accumulate(place, 1)
-    value = np.take_along_axis(twice, np.maximum(place, 0), 1)
-    gap = (np.arange(2 * _BINS)[None, :] - place).astype(np.uint64)
-    least = (value + gap * _U(0x9E3779B97F4A7C15))[:, ::-1][:, :_BINS]
     bits = (tx.splitmix(least) & _U(1)) << (np.arange(_BINS, dtype=np.uint64) + _U(4))[None, :]
     sketch = np.bitwise_or.reduce(bits, 1) | np.minimum(sizes // 4, 15).astype(np.uint64)
     least = least.reshape(n, BANDS, ROWS)
@@ -131,7 +138,7 @@ def _edges(key: np.ndarray, line: np.ndarray, rep: np.ndarray | None, sketch: np
 
 def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, line, null, sketch) of each batch's lines, but (key, line, rep, null) of those that agree
-    with their bucket's least line in the batch."""
+    with one line of their bucket in the batch."""
     for batch in batches:
         keys, lines, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         seen = np.zeros(0, np.uint64)
@@ -139,7 +146,8 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             low, start, end, _, ids = line_spans(raw, off)
             ids, at = np.unique(ids, return_index=True)
             new = ~np.isin(ids, seen, assume_unique=True)
-            ids, at = ids[new], at[new]
+            order = np.argsort(at[new])  # by place
+            ids, at = ids[new][order], at[new][order]
             seen = np.concatenate([seen, ids])
             if len(ids):
                 key, sketch = band_keys(low, start[at], end[at])
@@ -147,7 +155,7 @@ def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lines.append(np.repeat(ids.view(np.int64), BANDS))
                 marks.append(np.repeat(sketch, BANDS))
         key, line, mark = map(np.concatenate, (keys, lines, marks))
-        order = np.lexsort((line, key))
+        order = np.argsort(key)
         key, line, mark = key[order], line[order], mark[order]
         first = _first_of_run(key)
         near = (first != np.arange(len(key))) & sketches_agree(mark, mark[first]) if len(key) else np.zeros(0, bool)
@@ -399,9 +407,14 @@ def line_report(docs: DataFrame, t: float = 0.8) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(line_spans(raw, off)[3]) for _, _, raw, off in tx.chunks(b.column("text")))])
-            removed = [[c["first"] for c in x or ()] for x in b.column("cuts").to_pylist()]
-            left = [None if t is None else without(t.encode(), x) for t, x in zip(b.column("text").to_pylist(), b.column("cuts").to_pylist())]
+            text = b.column("text")
+            n = np.concatenate([np.zeros(0, np.int64), *(np.diff(line_spans(raw, off, False)[3]) for _, _, raw, off in tx.chunks(text))])
+            cuts = b.column("cuts").to_pylist()
+            removed = [[c["first"] for c in x or ()] for x in cuts]
+            raw, off = tx.buffers(text)
+            whole, null = memoryview(np.ascontiguousarray(raw)), text.is_null().to_pylist()
+            parts = (whole[x:y] for x, y in zip(off[:-1].tolist(), off[1:].tolist()))
+            left = [None if z else without(bytes(p), c) if c else p for p, c, z in zip(parts, cuts, null)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column("doc_id"), pa.array(n), pa.array([len(x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.int64())),
