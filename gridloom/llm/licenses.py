@@ -5,8 +5,8 @@ is a licence file, and its header lines: lines that hold a cue word, with the
 line after them. A part becomes a sparse TF-IDF vector over the templates'
 vocabulary plus one slot for all other words (so that foreign text lowers the
 cosine); inverse document frequencies come from counts over all files. The
-template of the largest cosine is the file's own licence if the cosine reaches
-``threshold``. A file without one inherits from the nearest ancestor directory
+licence of the form of the largest cosine is the file's own if the cosine reaches
+``threshold``; a bare reservation of rights counts only where no other does. A file without one inherits from the nearest ancestor directory
 that has a licence file: every file's ancestors are joined by path to the
 directories' licences, and the deepest match wins.
 
@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,22 +36,29 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._run import map_arrow, written
 
-#: Header forms and openings of well-known licences (fixed values).
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license. Redistribution and use in source and binary forms, with or without modification, are permitted.",
-    "CC-BY-4.0": "Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
-    "Proprietary": "All rights reserved. Copyright. No part may be reproduced without permission.",
-    "Unlicense": "This is free and unencumbered software released into the public domain.",
+#: Header forms and openings of well-known licences (fixed values), several forms to a licence.
+TEMPLATES: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
+    "BSD-3-Clause": (
+        "Use of this source code is governed by a BSD-style license.",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+    ),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
+    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
+    "MIT": ("Released under the MIT License.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",),
+    "Proprietary": ("All rights reserved.", "Copyright (c). All rights reserved.", "No part may be reproduced without permission."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: Notices that stand beside other licences too: they count only where no other licence reaches the threshold.
+WEAK = frozenset({"Proprietary"})
 _CUE = re.compile(r"licen[sc]e|copyright|spdx|redistribution|rights reserved|public domain", re.IGNORECASE)
 _TOKEN = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
+_SENTENCE = re.compile(r"(?<=[.!?;])\s+|,\s+(?=all rights)", re.IGNORECASE)
 _FILE = re.compile(r"(?:^|/)(?:licen[sc]e|copying|notice)[^/]*$", re.IGNORECASE)
 
 
@@ -60,20 +67,27 @@ def tokens(text: str) -> list[str]:
 
 
 def parts(path: str | None, text: str) -> Iterator[str]:
-    """The header lines of a text, and the whole text of a licence file."""
+    """The header lines of a text and their sentences, and the whole text of a licence file."""
     if path and _FILE.search(path):
         yield text
     if _CUE.search(text):
         for line in text.split("\n"):
             if _CUE.search(line):
                 yield line
+                sentences = _SENTENCE.split(line)
+                if len(sentences) > 1:
+                    yield from filter(_CUE.search, sentences)
+
+
+def covered(text: str) -> int:
+    """Characters of a text's header lines."""
+    return sum(len(line) for line in text.split("\n") if _CUE.search(line))
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str], idf: Mapping[str, float], rest: float):
-        self.idf, self.rest = dict(idf), rest
-        self.names = sorted(templates)
-        self.vectors = [self.vector(templates[n]) for n in self.names]
+    def __init__(self, templates: Mapping[str, Sequence[str]], idf: Mapping[str, float], rest: float, threshold: float):
+        self.idf, self.rest, self.threshold = dict(idf), rest, threshold
+        self.vectors = [(n, self.vector(form)) for n in sorted(templates) for form in templates[n]]
 
     def vector(self, text: str) -> dict[str, float]:
         tf = Counter(t if t in self.idf else "" for t in tokens(text))
@@ -84,14 +98,16 @@ class Scanner:
         return {t: x / norm for t, x in v.items()} if norm else {}
 
     def best(self, path: str | None, text: str) -> tuple[str | None, float]:
-        found: tuple[float, int] = (0.0, 0)
+        found: dict[bool, tuple[float, str | None]] = {False: (0.0, None), True: (0.0, None)}
         for p in parts(path, text):
             v = self.vector(p)
-            for k, w in enumerate(self.vectors):
+            for name, w in self.vectors:
                 c = sum(x * w.get(t, 0.0) for t, x in v.items() if t)
-                if c > found[0] + 1e-12:
-                    found = (c, k)
-        return (self.names[found[1]], found[0]) if found[0] > 0 else (None, 0.0)
+                if c > found[name in WEAK][0] + 1e-12:
+                    found[name in WEAK] = (c, name)
+        strong, weak = found[False], found[True]
+        c, name = strong if strong[0] >= min(self.threshold, weak[0]) else weak
+        return name, c
 
 
 def document_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -113,24 +129,24 @@ def document_frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[s
     return found, found.pop("", 0)
 
 
-def scan(files: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.75) -> DataFrame:
+def scan(files: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLATES, threshold: float = 0.75) -> DataFrame:
     """id, path, own (licence or null), cosine, license (own or inherited) and inherited_from of (id, path, text) rows."""
-    vocabulary = {w for t in templates.values() for w in tokens(t)}
+    names = {n: (forms,) if isinstance(forms, str) else tuple(forms) for n, forms in templates.items()}
+    vocabulary = {w for forms in names.values() for form in forms for w in tokens(form)}
     df, n = document_frequencies(files, vocabulary)
     idf = {w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1 for w in sorted(vocabulary)}
     rest = math.log(n + 1) / 2 + 1
-    names = dict(templates)
     kind = files.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(names, idf, rest)
+        scanner = Scanner(names, idf, rest, threshold)
         for b in batches:
             own, cos, is_file = [], [], []
             for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist()):
                 name, c = scanner.best(p, t) if t else (None, 0.0)
                 own.append(name if c >= threshold else None)
                 cos.append(round(c, 9))
-                whole = bool(t) and own[-1] is not None and sum(len(x) for x in parts(None, t)) >= 0.5 * len(t)
+                whole = bool(t) and own[-1] is not None and covered(t) >= 0.5 * len(t)
                 is_file.append(own[-1] is not None and (whole or bool(p and _FILE.search(p))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("path"), pa.array(own, pa.string()), pa.array(cos, pa.float64()), pa.array(is_file, pa.bool_())],

@@ -440,6 +440,23 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(d).count() == len(files) and licenses.scan(d.limit(0)).count() == 0
 
 
+def owned(spark, texts):
+    d = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    d = d.unionByName(spark.range(100, 400).selectExpr("id", "'x/y' path", "concat('some words of no licence by and for all ', id) text"))
+    got = {r.id: r.own for r in licenses.scan(d).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def test_license_notices_and_bsd_headers(spark):
+    bsd = "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."
+    texts = [
+        "All rights reserved.", "Copyright (c) 2024 X. All rights reserved.", "Copyright 2024 Some Works Ltd, all rights reserved\ncode", bsd,
+        f"Copyright 2009 The Authors. All rights reserved.\n{bsd}", "Redistribution and use in source and binary forms, with or without modification, are permitted.",
+        "all the rights of the town",
+    ]
+    assert owned(spark, texts) == ["Proprietary"] * 3 + ["BSD-3-Clause"] * 3 + [None]
+
+
 # all of them on nothing
 
 
