@@ -36,6 +36,15 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._run import map_arrow, written
 
+
+def _cc(short: str, long: str) -> tuple[str, ...]:
+    return (
+        f"Licensed under CC {short} 4.0.",
+        f"This work is licensed under a Creative Commons {long} 4.0 International License.",
+        f"Creative Commons {long} 4.0 International Public License",
+    )
+
+
 #: Header forms and openings of well-known licences (fixed values), several forms to a licence.
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "Apache-2.0": ("Licensed under the Apache License, Version 2.0.",),
@@ -44,9 +53,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
     ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0. This work is licensed under a Creative Commons Attribution 4.0 International License.",),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
+    "CC-BY-4.0": _cc("BY", "Attribution"),
+    "CC-BY-NC-4.0": _cc("BY-NC", "Attribution-NonCommercial"),
+    "CC-BY-NC-ND-4.0": _cc("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+    "CC-BY-NC-SA-4.0": _cc("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "CC-BY-ND-4.0": _cc("BY-ND", "Attribution-NoDerivatives"),
+    "CC-BY-SA-4.0": _cc("BY-SA", "Attribution-ShareAlike"),
     "GPL-3.0": ("This work is licensed under the GNU General Public License, version 3.",),
     "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
     "MIT": ("Released under the MIT License.",),

@@ -457,6 +457,16 @@ def test_license_notices_and_bsd_headers(spark):
     assert owned(spark, texts) == ["Proprietary"] * 3 + ["BSD-3-Clause"] * 3 + [None]
 
 
+def test_each_creative_commons_form_is_its_own(spark):
+    forms = {
+        "BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives",
+        "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives",
+    }
+    short = [f"Licensed under CC {x} 4.0." for x in forms] + [f"Licensed under CC {x} 4.0" for x in forms]
+    long = [f"This work is licensed under a Creative Commons {x} 4.0 International License." for x in forms.values()]
+    assert owned(spark, short + long) == [f"CC-{x}-4.0" for x in forms] * 3
+
+
 # all of them on nothing
 
 
