@@ -467,6 +467,28 @@ def test_each_creative_commons_form_is_its_own(spark):
     assert owned(spark, short + long) == [f"CC-{x}-4.0" for x in forms] * 3
 
 
+def test_license_texts_wrapped_headers_and_tags(spark):
+    gpl = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+import os"""
+    full = {n: forms[-1] for n, forms in licenses.TEMPLATES.items() if len(forms) and len(forms[-1]) > 500}
+    holder = "Copyright (c) 2024 Some Works Ltd. All rights reserved.\n\n"
+    small = {
+        "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "GPL-2.0", "SPDX-License-Identifier: Zlib": None,
+        gpl: "GPL-3.0", gpl.replace("version 3", "version 2"): "GPL-2.0", "Licensed under CC BY 3.0.": None,
+        " * Licensed under the Apache License,\n * Version 2.0 (the \"License\");\n": "Apache-2.0",
+    }
+    assert {"MIT", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "Apache-2.0"} <= set(full)
+    got = owned(spark, [holder + t for t in full.values()] + list(small))
+    assert got == list(full) + list(small.values())
+    # a full text passes its licence on, whatever its path is
+    rows = [(1, "p/1", holder + full["MIT"]), (2, "p/q/2", "nothing"), (3, "r/3", gpl + "\nx = 1" * 50), (4, "r/4", "nothing")]
+    d = spark.createDataFrame(rows, "id long, path string, text string")
+    assert {r.id: r.license for r in licenses.scan(d).collect()} == {1: "MIT", 2: "MIT", 3: "GPL-3.0", 4: None}
+
+
 # all of them on nothing
 
 
