@@ -1,20 +1,22 @@
 """Substring dedup by unit hashing: repeated passages, all but the earliest removed.
 
-A unit begins where a sentence or line begins and runs to the first sentence or
-line end at which it has ``min_words`` words; ``lines=True`` takes whole lines
-(of as many words) as units instead. Units so hang on their own text alone, and
-a passage is found whatever surrounds it. Words are lowered (A-Z) and spaces
-made one before a unit is hashed to 64 bits. Of equal units the earliest, by
+A unit is a sentence or line, whatever its length. Every two neighbours of a text
+are hashed as one, and so is a unit of ``min_words`` words alone; neighbouring
+repeated pairs are joined, and a run is a passage if it has ``min_words`` words.
+Units so hang on their own text alone: what surrounds a passage hides only the
+pieces of sentences at its two ends. ``lines=True`` takes whole lines of
+``min_words`` words as passages instead. Words are lowered (A-Z) and spaces made
+one before they are hashed to 64 bits. Of equal pairs or units the earliest, by
 (doc_id, place), is kept; every other is cut, overlapping cuts joined, and
 reported with its byte range in the original UTF-8 text and the keeper's id.
 
-Scale. One pass over the texts writes one row a unit (four longs). Units that a
+Scale. One pass over the texts writes a row or two a unit (four longs). Rows that a
 batch holds several times are settled there, all but the least being certain to
 go, so a passage that a third of all units repeat is one row a batch in the one
 shuffle that groups digests; what is settled is dealt by document. Cuts are
 joined to the texts by a table that is broadcast only if its count is small.
 
-Cases. Null, empty and shorter texts have no units. A repeated row (same id and
+Cases. Null, empty and shorter texts have no passages. A repeated row (same id and
 text) is one document and both rows are treated alike. Rows with a null id are
 unchanged and take no part. Empty tables give no rows. :func:`dedup_units`
 keeps all other columns; a document may be left with an empty text.
@@ -36,41 +38,63 @@ from gridloom.llm.line_dedup import cut
 
 MIN_WORDS = 20
 _END = tx.class_table(b".!?")
+_CLOSE = tx.class_table(b"\"')]}")
+#: Sentence ends of other scripts, as the last three (or two) bytes of a word.
+_ENDS3 = [int.from_bytes(c.encode(), "big") for c in "\u3002\uff01\uff1f\u0964\u2026"]
+_ENDS2 = [int.from_bytes(c.encode(), "big") for c in "\u06d4\u061f"]
 _U = np.uint64
 
 
+def _sentence_ends(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words that end a sentence, closing quotes and brackets aside."""
+    stop = end.copy()
+    for mark in (b"\xe2\x80\x9d", b"\xc2\xbb"):
+        n = len(mark)
+        on = stop - start > n
+        for k in range(n):
+            on[on] = low[stop[on] - n + k] == mark[k]
+        stop[on] -= n
+    for _ in range(2):
+        stop -= _CLOSE[low[stop - 1]] & (stop - start > 1)
+    last = _END[low[stop - 1]]
+    wide = np.flatnonzero((low[stop - 1] >= 128) & (stop - start >= 2))
+    z = stop[wide]
+    two = (low[z - 2].astype(np.int64) << 8) | low[z - 1]
+    three = two | np.where(z - start[wide] >= 3, low[np.maximum(z - 3, 0)].astype(np.int64) << 16, 0)
+    last[wide] = np.isin(two, _ENDS2) | np.isin(three, _ENDS3)
+    return last
+
+
 def unit_spans(raw: np.ndarray, off: np.ndarray, min_words: int, lines: bool):
-    """Start word, end word and digest of each unit, row of each unit, and words' start and end bytes."""
+    """First and last word, digest, row and pair (0 or 1) of each long unit and pair of units, and words' start and end bytes."""
     low = tx.LOWER[raw]
     start, end, first = tx.spans(low, off, tx.NONSPACE)
     n = len(start)
     if not n:
         none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, np.uint64), none, start, end
+        return none, none, np.zeros(0, np.uint64), none, none, start, end
     feeds = np.concatenate([[0], np.cumsum(low == 10)])
     last = np.ones(n, bool)
     last[:-1] = feeds[start[1:]] > feeds[end[:-1]]
     if not lines:
-        last |= _END[low[end - 1]]
+        last |= _sentence_ends(low, start, end)
     rows = np.flatnonzero(np.diff(first))
     last[first[rows + 1] - 1] = True
     begins = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1])
-    ends = np.flatnonzero(last)
+    stop = np.flatnonzero(last)
     row = np.searchsorted(first, begins, "right") - 1
-    if lines:
-        stop = ends
-        good = stop - begins + 1 >= min_words
-    else:
-        at = np.searchsorted(ends, begins + min_words - 1)
-        stop = ends[np.minimum(at, len(ends) - 1)]
-        good = (at < len(ends)) & (stop < first[row + 1])
-    begins, stop, row = begins[good], stop[good], row[good]
+    pick = np.flatnonzero(stop - begins + 1 >= min_words)
+    pair = np.zeros(len(pick), np.int64)
+    if not lines:
+        two = np.flatnonzero(row[1:] == row[:-1])
+        pick, pair = np.concatenate([pick, two]), np.concatenate([pair, np.ones(len(two), np.int64)])
+    begins, stop, row = begins[pick], stop[pick + pair], row[pick]
     h = tx.span_hashes(low, start, end)
     power, inverse = tx._powers(n + 1)
     run = np.zeros(n + 1, np.uint64)
     np.cumsum(h * power[:n], out=run[1:])
     digest = tx.splitmix((run[stop + 1] - run[begins]) * inverse[begins] + (stop - begins).astype(np.uint64))
-    return begins, stop, digest, row, start, end
+    return begins, stop, digest, row, pair, start, end
 
 
 def _unit_rows(min_words: int, lines: bool):
@@ -80,10 +104,10 @@ def _unit_rows(min_words: int, lines: bool):
             th = b.column("th").to_numpy()
             digest, doc, at = [], [], []
             for a, _, raw, off in tx.chunks(b.column("text")):
-                begins, _, d, row, start, _ = unit_spans(raw, off, min_words, lines)
+                begins, _, d, row, pair, start, _ = unit_spans(raw, off, min_words, lines)
                 digest.append(d.view(np.int64))
                 doc.append(ids[row + a])
-                at.append((th[row + a] << 32) | (start[begins] - off[row]))
+                at.append((th[row + a] << 32) | ((start[begins] - off[row]) << 1) | pair)
             if not digest:
                 continue
             digest, doc, at = map(np.concatenate, (digest, doc, at))
@@ -123,9 +147,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
-    """(doc_id, th, starts, keepers): first bytes of the units to cut from each text, and the ids that keep them.
-
-    ``th`` is the low half of the text's xxhash64.
+    """(doc_id, th, marks): repeated units and pairs of each text, as twice their first byte (plus one for a pair)
+    and the id that keeps them; ``th`` is the low half of the text's xxhash64.
     """
     docs = docs.filter("doc_id is not null and text is not null")
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)).alias("th"), "text")
@@ -135,41 +158,44 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) ->
     gone = map_arrow(rows, _settle, "doc_id long, at long, keeper long")
     th = F.shiftrightunsigned("at", 32)
     gone = gone.groupBy("doc_id", th.alias("th")).agg(
-        F.sort_array(F.collect_set(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)))).alias("starts"),
-        F.sort_array(F.collect_set("keeper")).alias("keepers"),
+        F.sort_array(F.collect_set(F.struct(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("at"), "keeper"))).alias("marks")
     )
     return written(gone)
 
 
 def _with_cuts(docs: DataFrame, gone: DataFrame, min_words: int, lines: bool) -> DataFrame:
     """``docs`` with _cuts (byte ranges, joined) and _keepers; both null where nothing is cut."""
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("starts").alias("_starts"), F.col("keepers").alias("_keepers"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("marks").alias("_marks"))
     match = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("_th"))
     out = docs.join(sized(gone, 300), match, "left").drop("_id", "_th")
     kinds = {f.name: f.dataType.simpleString() for f in out.schema}
-    names = [c for c in kinds if c != "_starts"] + ["_cuts"]
+    names = [c for c in kinds if c != "_marks"] + ["_cuts", "_keepers"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
         for b in batches:
             cuts: list[list[dict[str, int]] | None] = [None] * b.num_rows
-            starts = b.column("_starts").to_pylist()
+            keepers: list[list[int] | None] = [None] * b.num_rows
             text = b.column("text")
-            for i, s in enumerate(starts):
-                if s:
+            for i, m in enumerate(b.column("_marks").to_pylist()):
+                if m:
                     raw, off = tx.buffers(text.slice(i, 1))
-                    begins, stop, _, _, start, end = unit_spans(raw, off, min_words, lines)
-                    mine = np.isin(start[begins], s)
-                    got: list[dict[str, int]] = []
-                    for x, y in zip(start[begins[mine]].tolist(), end[stop[mine]].tolist()):
-                        if got and x <= got[-1]["end"]:
-                            got[-1]["end"] = max(y, got[-1]["end"])
+                    begins, stop, _, _, pair, start, end = unit_spans(raw, off, min_words, lines)
+                    spot = {k: (x, y) for k, x, y in zip(((start[begins] << 1) | pair).tolist(), begins.tolist(), stop.tolist())}
+                    runs: list[tuple[int, int, set[int]]] = []  # first word, last word, keepers
+                    for x, y, keeper in sorted((*spot[g["at"]], g["keeper"]) for g in m):
+                        if runs and x <= runs[-1][1]:
+                            runs[-1] = (runs[-1][0], max(y, runs[-1][1]), runs[-1][2] | {keeper})
                         else:
-                            got.append({"first": x, "end": y})
-                    cuts[i] = got
-            yield pa.RecordBatch.from_arrays([pa.array(cuts, kind) if c == "_cuts" else b.column(c) for c in names], names=names)
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[:-1]) + ", _cuts array<struct<first:long,end:long>>"
+                            runs.append((x, y, {keeper}))
+                    long = [r for r in runs if r[1] - r[0] + 1 >= min_words]
+                    if long:
+                        cuts[i] = [{"first": int(start[x]), "end": int(end[y])} for x, y, _ in long]
+                        keepers[i] = sorted(set().union(*(k for *_, k in long)))
+            new = {"_cuts": pa.array(cuts, kind), "_keepers": pa.array(keepers, pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names[:-2]) + ", _cuts array<struct<first:long,end:long>>, _keepers array<long>"
     return map_arrow(out, run, schema)
 
 

@@ -367,6 +367,26 @@ def test_repeated_passages(spark, docs, nothing):
     assert lines.n_removed == 4 and lines.kept_ids == [0]
 
 
+def test_boundaries_hide_no_passage(spark):
+    rng = random.Random(4)
+    said = lambda *n, end=".": " ".join(sentence(rng, k).capitalize() + end for k in n)
+    cut_in, quoted, stops = said(5, 14), said(9, 12, 11, end='."'), said(8, 9, 10, end="\u3002")
+    common = [said(2) for _ in range(12)]
+    rows = []
+    for i in range(4):  # the passage stands between halves of sentences of its own text
+        half = lambda: sentence(rng, 19)
+        rows.append((i, f"{half()} word. {cut_in} {sentence(rng, 3)} {quoted} {half()}. {half()}\n{stops} {half()} end."))
+    for i in range(4, 10):  # short sentences that all repeat, but never two of them together
+        order = common[:]
+        rng.shuffle(order)
+        rows.append((i, " ".join(f"{x} {said(1)}" for x in order)))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in substring_dedup.dedup_units(d, min_words=19).collect()}
+    assert all(got[i] == rows[i][1] for i in (0, *range(4, 10)))
+    for i in (1, 2, 3):
+        assert cut_in not in got[i] and stops not in got[i] and quoted.split('."')[1] not in got[i]
+
+
 # 9 near duplicates
 
 
