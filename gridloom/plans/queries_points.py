@@ -55,7 +55,7 @@ def regression_kriging(s, d):
 
 register("regression_kriging", lambda s, d: rounded(regression_kriging(s, d)))
 register("regression_kriging_with_variogram", lambda s, d: rounded(regression_kriging(s, d).filter("variance IS NOT NULL")))
-register("tps_interpolation", lambda s, d: rounded(pt.thin_plate(cells(s), points(s, d).orderBy("id").limit(200), 1e-3), "v"))
+register("tps_interpolation", lambda s, d: rounded(pt.thin_plate(cells(s), points(s, d), 1e-3), "v"))
 register("natural_neighbor", lambda s, d: rounded(pt.idw(cells(s), points(s, d), 0.12, 1.0), "v"))
 register("grid_points_in_polygon", lambda s, d: s.range(144).selectExpr("CAST(floor(id / 12) AS INT) AS r", "CAST(id % 12 AS INT) AS c", "id % 12 + 0.5D AS x", "floor(id / 12) + 0.5D AS y").withColumn("ring", F.expr("array(named_struct('x', 1.03D, 'y', 1.07D), named_struct('x', 10.11D, 'y', 2.05D), named_struct('x', 7.02D, 'y', 11.3D))")).filter(pt.contains(F.col("ring"), F.col("x"), F.col("y"))).select("r", "c"),
     "SELECT CAST(i // 12 AS INT) AS r, CAST(i % 12 AS INT) AS c FROM (SELECT i, i % 12 + 0.5E0 x, i // 12 + 0.5E0 y FROM range(144) t(i)) WHERE (x - 1.03E0) * 0.98E0 - (y - 1.07E0) * 9.08E0 < 0 AND (x - 10.11E0) * 9.25E0 - (y - 2.05E0) * -3.09E0 < 0 AND (x - 7.02E0) * -10.23E0 - (y - 11.3E0) * -5.99E0 < 0")

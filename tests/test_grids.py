@@ -193,3 +193,18 @@ def test_stream_is_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("out").collect())) == sorted(map(tuple, composite(table).collect()))
+
+
+def test_spline_query_takes_all_points(spark):
+    from gridloom.operators import points as pt
+    from gridloom.plans import queries_points as q
+    from gridloom.plans.recipes import points as table_points
+    from gridloom.plans.registry import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    rows = sorted(table_points(spark, d).collect(), key=lambda x: x.id)
+    assert len(rows) > 200
+    whole = spark.createDataFrame(rows)
+    want = {(x.r, x.c): x.v for x in pt.thin_plate(q.cells(spark), whole, 1e-3).collect()}
+    got = {(x.r, x.c): x.v for x in QUERIES["tps_interpolation"](spark, d).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
