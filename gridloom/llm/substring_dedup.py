@@ -13,8 +13,8 @@ reported with its byte range in the original UTF-8 text and the keeper's id.
 Scale. One pass over the texts writes a row or two a unit (four longs). Rows that a
 batch holds several times are settled there, all but the least being certain to
 go, so a passage that a third of all units repeat is one row a batch in the one
-shuffle that groups digests; what is settled is dealt by document. Cuts are
-joined to the texts by a table that is broadcast only if its count is small.
+shuffle that groups digests; what is settled is dealt by document. Texts meet their
+marks by a shuffle at every size, as the marks grow with the texts.
 
 Cases. Null, empty and shorter texts have no passages. A repeated row (same id and
 text) is one document and both rows are treated alike. Rows with a null id are
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow, multi_runs, packed, sized, unpacked, written
+from gridloom.llm._run import map_arrow, multi_runs, packed, unpacked, written
 from gridloom.llm.line_dedup import cut
 
 MIN_WORDS = 20
@@ -163,11 +163,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) ->
     return written(gone)
 
 
-def _with_cuts(docs: DataFrame, gone: DataFrame, min_words: int, lines: bool) -> DataFrame:
-    """``docs`` with _cuts (byte ranges, joined) and _keepers; both null where nothing is cut."""
+def _with_cuts(docs: DataFrame, gone: DataFrame, min_words: int, lines: bool, how: str) -> DataFrame:
+    """``docs`` with _cuts (byte ranges, joined) and _keepers; both null where nothing is cut.
+    ``how`` is left, or inner for those documents alone that hold a mark."""
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("marks").alias("_marks"))
     match = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)) == F.col("_th"))
-    out = docs.join(sized(gone, 300), match, "left").drop("_id", "_th")
+    out = docs.join(gone, match, how).drop("_id", "_th")
     kinds = {f.name: f.dataType.simpleString() for f in out.schema}
     names = [c for c in kinds if c != "_marks"] + ["_cuts", "_keepers"]
 
@@ -201,13 +202,13 @@ def _with_cuts(docs: DataFrame, gone: DataFrame, min_words: int, lines: bool) ->
 
 def dedup_units(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
     """The documents without repeated units; all columns are kept, and n_chars, if there, follows the text."""
-    return unpacked(cut(_with_cuts(packed(docs), repeats(docs, min_words, lines), min_words, lines), "text", "_cuts"), docs)
+    return unpacked(cut(_with_cuts(packed(docs), repeats(docs, min_words, lines), min_words, lines, "left"), "text", "_cuts"), docs)
 
 
 def repeat_report(docs: DataFrame, min_words: int = MIN_WORDS, lines: bool = False) -> DataFrame:
     """One row for each document that loses something: doc_id, n_removed, n_bytes_removed, removed (byte
     ranges in the original text), kept_ids (documents that keep the passages) and text_sha256 of what is left."""
-    out = _with_cuts(docs.select("doc_id", "text"), repeats(docs, min_words, lines), min_words, lines)
+    out = _with_cuts(docs.select("doc_id", "text"), repeats(docs, min_words, lines), min_words, lines, "inner")
     out = out.filter(F.size("_cuts") > 0)
     size = F.aggregate("_cuts", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["first"])
     out = out.withColumns({"removed": F.col("_cuts"), "n_removed": F.size("_cuts").cast("long"), "n_bytes_removed": size})
