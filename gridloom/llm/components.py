@@ -29,6 +29,12 @@ def _small_star(e: DataFrame) -> DataFrame:
     return near.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
+def _are_stars(e: DataFrame) -> bool:
+    """No node is a leaf twice, or both a leaf and a centre."""
+    nodes = e.select("a").unionByName(e.select(F.col("b").alias("a")).distinct())
+    return nodes.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b: longs), where root is its component's least node.
 
@@ -36,12 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     not returned. No edges: no rows.
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    e, before = written(e), None
-    while True:
-        mark = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if before == (mark["n"], mark["h"]) or not mark["n"]:
-            break
-        before = (mark["n"], mark["h"])
+    e = written(e)
+    while not _are_stars(e):
         e = written(_small_star(_large_star(e)))
     nodes = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

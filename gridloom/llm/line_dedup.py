@@ -9,20 +9,23 @@ equal in lower case are one line from the start, identified by a 64-bit hash.
    distinct line its minima (empty bins take the next one's), and each band of
    ``ROWS`` minima a bucket. At similarity 0.8 a pair shares one of 12 buckets
    of 5 rows with probability 0.99, at 0.3 with 0.03.
-2. Stars. Within a batch, and then globally, the lines of a bucket are linked
-   to its least line. A bucket that a third of all lines fall in is so reduced
-   to one row a batch before the shuffle. A row carries 60 bits of the minima;
-   only lines that agree on so many as similarity 0.8 gives (less three standard
-   errors) are linked, others lead stars of their own. No pairs are emitted.
-3. Checks. Each link is checked by the exact Jaccard similarity of the lines'
-   bytes: first one link a line, then those that still join two components;
-   then, in buckets whose lines did not all join their star, one line of each
-   component is compared with those of the others, a bucket a task.
+2. Groups. Each line carries 60 bits of its minima, and lines of a bucket that agree
+   on so many of them as similarity 0.8 gives (less three standard errors) may be
+   near. Within a batch a line that passes the exact check with the first of its
+   bucket leaves the bucket; all others meet globally, and each is linked to the
+   first of its bucket that it agrees with.
+3. Checks. Each link is checked by the exact Jaccard similarity of the lines' bytes.
+   Then, in buckets whose lines are not all in one component, each line is compared
+   with those of other components that it agrees with, in pairs of blocks where
+   a bucket is large. No pairs are emitted but those that are near and join two.
 4. Union-find on the checked links; the earliest occurrence (by doc_id, then
    place) of each component stays, all others are cut out with their line feed.
 
-Candidate lines' bytes are fetched by a Bloom filter of fixed size, so the
-texts are not shuffled for it; a fuller filter only lets more lines through.
+Texts are read three times: for signatures, for the places (and bytes) of the lines
+that occur twice or may be near, and for the cuts. The second reading knows those
+lines by Bloom filters that are sized by their count, up to a bound; a fuller filter
+only lets more lines through. What a batch holds of a line after its first place is
+sure to go and is not joined, so a line that a third of all texts hold is a row a batch.
 
 Cases. A null text stays null, an empty text empty. A document whose lines all
 go stays, with an empty text. A repeated row (same id and text) is one document
@@ -45,7 +48,8 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from gridloom.llm import _text as tx
-from gridloom.llm._run import map_arrow, multi_runs, packed, sized, unpacked, written
+from gridloom.llm._run import map_arrow, packed, sized, unpacked, written
+from gridloom.llm._run import runs as run_tables
 from gridloom.llm.components import components
 
 SHINGLE, ROWS, BANDS = 5, 5, 12
@@ -75,11 +79,14 @@ def _codes(low: np.ndarray) -> np.ndarray:
     return eight & _U((1 << (8 * SHINGLE)) - 1)
 
 
+def _shingles(low: np.ndarray) -> np.ndarray:
+    code = np.sort(_codes(low)[: max(len(low) - SHINGLE + 1, 1)])
+    return code[np.concatenate([[True], code[1:] != code[:-1]])]
+
+
 def line_set(line: bytes) -> np.ndarray:
     """The sorted distinct shingles of one line."""
-    low = np.frombuffer(line, np.uint8)
-    code = _codes(low)
-    return np.unique(code[: max(len(low) - SHINGLE + 1, 1)])
+    return _shingles(np.frombuffer(line, np.uint8))
 
 
 def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +125,7 @@ def band_keys(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (n, BANDS)).copy()
     for r in range(ROWS):
         key = tx.splitmix(key * _U(0xF1357AEA2E62A9C5) + least[:, :, r])
-    return key, sketch
+    return key & ~_U(15) | np.arange(BANDS, dtype=np.uint64), sketch  # the low bits tell the band
 
 
 #: Bits of 60 on which sketches must agree, by the smaller size class: three standard errors under what
@@ -131,37 +138,9 @@ def sketches_agree(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return same >= _AGREE[np.minimum(x & _U(15), y & _U(15)).astype(np.int64)]
 
 
-def _edges(key: np.ndarray, line: np.ndarray, rep: np.ndarray | None, sketch: np.ndarray | None = None) -> pa.RecordBatch:
-    a, b = (pa.nulls(len(key), pa.int64()) if x is None else pa.array(x) for x in (rep, sketch))
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(line), a, b], names=["key", "line", "rep", "sketch"])
-
-
-def bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, null, sketch) of each batch's lines, but (key, line, rep, null) of those that agree
-    with one line of their bucket in the batch."""
-    for batch in batches:
-        keys, lines, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        seen = np.zeros(0, np.uint64)
-        for _, _, raw, off in tx.chunks(batch.column(0)):
-            low, start, end, _, ids = line_spans(raw, off)
-            ids, at = np.unique(ids, return_index=True)
-            new = ~np.isin(ids, seen, assume_unique=True)
-            order = np.argsort(at[new])  # by place
-            ids, at = ids[new][order], at[new][order]
-            seen = np.concatenate([seen, ids])
-            if len(ids):
-                key, sketch = band_keys(low, start[at], end[at])
-                keys.append(key.ravel().view(np.int64))
-                lines.append(np.repeat(ids.view(np.int64), BANDS))
-                marks.append(np.repeat(sketch, BANDS))
-        key, line, mark = map(np.concatenate, (keys, lines, marks))
-        order = np.argsort(key)
-        key, line, mark = key[order], line[order], mark[order]
-        first = _first_of_run(key)
-        near = (first != np.arange(len(key))) & sketches_agree(mark, mark[first]) if len(key) else np.zeros(0, bool)
-        yield _edges(key[~near], line[~near], None, mark[~near].view(np.int64))
-        if near.any():
-            yield _edges(key[near], line[near], line[first[near]])
+def _rows(key: np.ndarray, line: np.ndarray, mark: np.ndarray, null: bool = False) -> pa.RecordBatch:
+    first = pa.nulls(len(line), pa.int64()) if null else pa.array(key)
+    return pa.RecordBatch.from_arrays([first, pa.array(line), pa.array(mark)], names=["key", "line", "mark"])
 
 
 def _first_of_run(key: np.ndarray) -> np.ndarray:
@@ -169,41 +148,124 @@ def _first_of_run(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)[np.cumsum(head) - 1] if len(key) else np.zeros(0, np.int64)
 
 
-def _stars(key: np.ndarray, line: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links within whole runs: to the first line of the run, or to the first that agrees of those left."""
+def bucket_rows(t: float):
+    """(key, line, sketch) of each batch's lines, and (null, line, other) of each that is known to be near a
+    line of its batch, or (null, line, line) if the batch holds it twice.
+
+    Only a line that passed the exact check with the first of its bucket leaves the bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lines, marks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            seen, twice = np.zeros(0, np.uint64), [np.zeros(0, np.uint64)]
+            held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # bytes, starts and ends of new lines
+            chunk, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, _, raw, off in tx.chunks(batch.column(0)):
+                low, start, end, _, ids = line_spans(raw, off)
+                ids, at, n = np.unique(ids, return_index=True, return_counts=True)
+                new = ~np.isin(ids, seen, assume_unique=True)
+                twice.append(ids[(n > 1) | ~new])
+                order = np.argsort(at[new])  # by place, as band_keys takes them
+                ids, at = ids[new][order], at[new][order]
+                seen = np.concatenate([seen, ids])
+                if len(ids):
+                    key, sketch = band_keys(low, start[at], end[at])
+                    keys.append(key.ravel().view(np.int64))
+                    lines.append(np.repeat(ids.view(np.int64), BANDS))
+                    marks.append(np.repeat(sketch, BANDS))
+                    chunk.append(np.full(len(ids) * BANDS, len(held)))
+                    place.append(np.repeat(np.arange(len(ids)), BANDS))
+                    held.append((low, start[at], end[at]))
+            key, line, mark, chunk, place = map(np.concatenate, (keys, lines, marks, chunk, place))
+            order = np.lexsort((line, key))
+            key, line, mark = key[order], line[order], mark[order]
+            first = _first_of_run(key)
+            near = np.zeros(len(key), bool)
+            maybe = np.flatnonzero(first != np.arange(len(key)))
+            maybe = maybe[sketches_agree(mark[maybe], mark[first[maybe]])]
+            if len(maybe):
+                pairs, at, back = np.unique(np.stack([line[maybe], line[first[maybe]]]), axis=1, return_index=True, return_inverse=True)
+
+                def of(i: int) -> np.ndarray:
+                    low, start, end = held[chunk[order[i]]]
+                    k = place[order[i]]
+                    return _shingles(low[start[k] : end[k]])
+
+                sets: dict[int, np.ndarray] = {}
+                ok = np.zeros(len(at), bool)
+                for j, i in enumerate(maybe[at].tolist()):
+                    lead = int(first[i])
+                    if int(line[lead]) not in sets:
+                        sets[int(line[lead])] = of(lead)
+                    ok[j] = _alike(of(i), sets[int(line[lead])], t)
+                near[maybe[ok[back.ravel()]]] = True
+                yield _rows(pairs[0], pairs[0][ok], pairs[1][ok], null=True)
+            again = np.unique(np.concatenate(twice)).view(np.int64)
+            yield _rows(again, again, again, null=True)
+            yield _rows(key[~near], line[~near], mark[~near].view(np.int64))
+
+    return run
+
+
+def _leaders(key: np.ndarray, line: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's leader in its run: the first line, or the first that agrees of those left; and the rows that
+    have one, are one, or agree with any other of their run."""
+    lead = np.arange(len(key))
     first = _first_of_run(key)
-    rest = np.flatnonzero(first != np.arange(len(key)))
+    rest = np.flatnonzero(first != lead)
     while len(rest):
-        lead = first[rest]
-        near = sketches_agree(mark[rest], mark[lead])
-        on = near & (line[rest] != line[lead])
-        if on.any():
-            yield _edges(key[rest[on]], line[rest[on]], line[lead[on]])
+        near = sketches_agree(mark[rest], mark[first[rest]])
+        lead[rest[near]] = first[rest[near]]
         rest = rest[~near]
         if len(rest):
             first = first.copy()
             first[rest] = rest[_first_of_run(key[rest])]
             rest = rest[first[rest] != rest]
-
-
-def global_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, line, rep) from bucket rows sorted by key: links of lines whose sketches agree, as stars."""
+    some = np.zeros(len(key), bool)
+    on = np.flatnonzero(lead != np.arange(len(key)))
+    some[on], some[lead[on]] = True, True
+    return lead, some
+
+
+def bucket_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, line, lead, mark) of every line that agrees with a line of its bucket, from bucket rows sorted by key and
+    line; (null, line, other, null) for what is known, with other = line for a line that several batches hold."""
+
+    def out(key, line, mark) -> Iterator[pa.RecordBatch]:
+        again = np.flatnonzero((key[1:] == key[:-1]) & (line[1:] == line[:-1])) + 1
+        if len(again):
+            twice = np.unique(line[again[key[again] & 15 == 0]])
+            yield known(twice, twice)
+            keep = np.ones(len(key), bool)
+            keep[again] = False
+            key, line, mark = key[keep], line[keep], mark[keep]
+        lead, some = _leaders(key, line, mark)
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.array(line[some]), pa.array(line[lead[some]]), pa.array(mark[some].view(np.int64))], names=names)
+
+    def known(line, other) -> pa.RecordBatch:
+        null = pa.nulls(len(line), pa.int64())
+        return pa.RecordBatch.from_arrays([null, pa.array(line), pa.array(other), null], names=names)
+
+    names = ["key", "line", "lead", "mark"]
     held: list[np.ndarray] | None = None
     for b in batches:
-        null = b.column("rep").is_null()
-        if b.column("rep").null_count < b.num_rows:
-            yield b.filter(pc.invert(null)).select(["key", "line", "rep", "sketch"])
-            b = b.filter(null)
+        if b.column("key").null_count:
+            null = b.column("key").is_null()
+            k = b.filter(null)
+            yield known(k.column("line").to_numpy(), k.column("mark").to_numpy())
+            b = b.filter(pc.invert(null))
         if not b.num_rows:
             continue
-        new = [b.column("key").to_numpy(), b.column("line").to_numpy(), b.column("sketch").to_numpy().view(np.uint64)]
+        new = [b.column("key").to_numpy(), b.column("line").to_numpy(), b.column("mark").to_numpy().view(np.uint64)]
         held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
         last = int(np.searchsorted(held[0], held[0][-1]))  # the last run may go on
         if last:
-            yield from _stars(*(x[:last] for x in held))
+            yield from out(*(x[:last] for x in held))
             held = [x[last:] for x in held]
     if held is not None:
-        yield from _stars(*held)
+        yield from out(*held)
 
 
 def _similar(t: float):
@@ -211,16 +273,23 @@ def _similar(t: float):
         kept_id, kept_set = None, None
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
-            rep_ids = b.column("rep").to_numpy()
+            lead = b.column("lead").to_numpy()
             for i, (x, y) in enumerate(zip(b.column("x").to_pylist(), b.column("y").to_pylist())):
-                if rep_ids[i] != kept_id:
-                    kept_id, kept_set = rep_ids[i], line_set(y)
+                if lead[i] != kept_id:
+                    kept_id, kept_set = lead[i], line_set(y)
                 ok[i] = _alike(line_set(x), kept_set, t)
-            yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(ok)), b.column("rep").filter(pa.array(ok))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("line").filter(pa.array(ok)), b.column("lead").filter(pa.array(ok))], names=["a", "b"])
 
     return check
 
 
+def _alike(x: np.ndarray, y: np.ndarray, t: float) -> bool:
+    if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
+        return False
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return both >= t * (len(x) + len(y) - both) - 1e-9
+
+
 def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
     """A Bloom filter of ``2 ** bits`` bits over ``id``, with two hashes."""
     at = [F.pmod(F.col("id"), F.lit(1 << bits)), F.pmod(F.shiftrightunsigned("id", bits), F.lit(1 << bits))]
@@ -233,131 +302,154 @@ def _filter_words(ids: DataFrame, bits: int) -> np.ndarray:
             out[b.column("w").to_numpy()] = b.column("m").to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["words"])
 
-    # one row of a fixed size, whatever the number of ids
+    # one row of a bounded size, whatever the number of ids
     got = map_arrow(rows.select(F.col("w").cast("long"), F.col("m").cast("long")).coalesce(1), join, "words binary").first()
     return np.frombuffer(got["words"], np.uint64) if got else np.zeros(1 << (bits - 6), np.uint64)
 
 
-def lines_of(texts: DataFrame, ids: DataFrame, bits: int = 24) -> DataFrame:
-    """(id, line bytes) of every line whose id the filter of ``ids`` lets through, once each."""
-    words = texts.sparkSession.sparkContext.broadcast(_filter_words(ids, bits))
+def filter_bits(n: int) -> int:
+    """Eight bits an id, within 2 ** 20 and 2 ** 28 bits (32 MB): past that a fuller filter lets more lines through, and drops none."""
+    return min(max((8 * max(n, 1) - 1).bit_length(), 20), 28)
+
+
+def occurrences(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(line, doc_id, th, first, end, sure, bytes) of lines that occur twice or agree with another, and of some that
+    pass the filters by chance. ``sure``: the batch holds the line at an earlier place, so this one goes whatever
+    else is found. ``bytes`` come once a batch, for lines that agree with another."""
+    spark = docs.sparkSession
+    near = groups.filter("key is not null").select(F.col("line").alias("id"), F.lit(0).alias("k"))
+    twice = groups.filter("key is null").select(F.explode(F.array("line", "lead")).alias("id"), F.lit(1).alias("k"))
+    n = {r["k"]: r["n"] for r in near.unionByName(twice).groupBy("k").agg(F.approx_count_distinct("id").alias("n")).collect()}
+    bits = [filter_bits(n.get(0, 0)), filter_bits(n.get(1, 0))]
+    filters = [spark.sparkContext.broadcast(_filter_words(ids, b)) for ids, b in zip((near, twice), bits)]
+
+    def within(h: np.ndarray, k: int) -> np.ndarray:
+        w, b = filters[k].value, bits[k]
+        hit = np.ones(len(h), bool)
+        for at in (h & _U((1 << b) - 1), (h >> _U(b)) & _U((1 << b) - 1)):
+            hit &= (w[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
+        return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, mask = words.value, _U((1 << bits) - 1)
         for batch in batches:
-            seen: set[int] = set()
-            out_id, out = [], []
-            for _, _, raw, off in tx.chunks(batch.column(0)):
-                low, start, end, _, h = line_spans(raw, off)
-                hit = np.ones(len(h), bool)
-                for at in (h & mask, (h >> _U(bits)) & mask):
-                    hit &= (w[(at >> _U(6)).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-                ids_, at = np.unique(h[hit], return_index=True)
-                s, e = start[hit][at], end[hit][at]
-                for i, a, z in zip(ids_.view(np.int64).tolist(), s.tolist(), e.tolist()):
-                    if i not in seen:
-                        seen.add(i)
-                        out_id.append(i)
-                        out.append(low[a:z].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.int64()), pa.array(out, pa.binary())], names=["id", "bytes"])
-
-    found = map_arrow(texts, run, "id long, bytes binary")
-    return found.join(ids.distinct(), "id", "left_semi").dropDuplicates(["id"])
-
-
-def near_lines(texts: DataFrame, t: float = 0.8) -> DataFrame:
-    """(node, root) of every line that is near another, by line ids."""
-    rows = map_arrow(texts, bucket_rows, "key long, line long, rep long, sketch long")
-    dealt = F.when(F.col("rep").isNull(), F.col("key")).otherwise(F.col("line"))  # stars made already need no meeting
-    rows = rows.withColumn("to", dealt)
-    rows = rows.repartition("to").drop("to").sortWithinPartitions("key", "line")
-    links = written(map_arrow(rows, global_stars, "key long, line long, rep long, sketch long").select("key", "line", "rep"))
-    ids = links.select(F.col("line").alias("id")).unionByName(links.select(F.col("rep").alias("id"))).distinct()
-    lines = written(lines_of(texts, ids))
-
-    def check(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(lines.select(F.col("id").alias("line"), F.col("bytes").alias("x")), "line")
-        p = p.join(lines.select(F.col("id").alias("rep"), F.col("bytes").alias("y")), "rep")
-        return map_arrow(p.select("line", "rep", "x", "y"), _similar(t), "a long, b long")
-
-    def star(edges: DataFrame) -> DataFrame:
-        return components(edges.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-
-    def apart(rows: DataFrame) -> DataFrame:
-        """Links whose ends are in different components so far, with those."""
-        root = lambda side: joined.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-        rows = rows.join(root("line"), "line", "left").join(root("rep"), "rep", "left")
-        rows = rows.withColumns({"line_root": F.coalesce("line_root", "line"), "rep_root": F.coalesce("rep_root", "rep")})
-        return rows.filter("line_root <> rep_root")
-
-    one = links.groupBy("line").agg(F.min("rep").alias("rep"))
-    joined = components(check(one))
-    joined = star(check(apart(links.join(one, ["line", "rep"], "left_anti")).select("line", "rep").distinct()))
-    # buckets that a star did not join: one line of each component, compared with each other in one task a bucket
-    left = apart(links)
-    left = left.select("key", "line_root", "line").unionByName(left.select("key", F.col("rep_root").alias("line_root"), F.col("rep").alias("line")))
-    left = left.groupBy("key", "line_root").agg(F.min("line").alias("line"))
-    left = left.join(lines.select(F.col("id").alias("line"), "bytes"), "line").select("key", "line", "bytes")
-    left = left.repartition("key").sortWithinPartitions("key", "line")
-    return star(map_arrow(left, _pairs_within(t), "a long, b long").distinct())
+            ids, th = batch.column("doc_id"), batch.column("th")
+            order = pc.sort_indices(pa.table({"doc_id": ids, "th": th}), [("doc_id", "ascending"), ("th", "ascending")])
+            s_ids, s_th = ids.take(order), th.take(order)
+            step = np.zeros(len(order), np.int64)
+            if len(order) > 1:
+                step[1:] = pc.or_(pc.not_equal(s_ids[1:], s_ids[:-1]), pc.not_equal(s_th[1:], s_th[:-1])).to_numpy(zero_copy_only=False)
+            rank = np.empty(len(order), np.int64)  # equal rows have one rank
+            rank[order.to_numpy()] = np.cumsum(step)
+            parts, text = [], []
+            for a, z, raw, off in tx.chunks(batch.column("text")):
+                low, start, end, first, h = line_spans(raw, off)
+                close = within(h, 0)
+                hit = np.flatnonzero(close | within(h, 1))
+                row = np.repeat(np.arange(a, z), np.diff(first))[hit]
+                base = off[row - a]
+                parts.append(np.stack([h[hit].view(np.int64), row, start[hit] - base, end[hit] - base, close[hit]]))
+                text += [low[x:y].tobytes() if c else None for x, y, c in zip(start[hit].tolist(), end[hit].tolist(), close[hit].tolist())]
+            if not parts:
+                continue
+            line, row, first, end, close = np.concatenate(parts, axis=1)
+            by = np.lexsort((first, rank[row], line))
+            l, r, f = line[by], rank[row][by], first[by]
+            head = _first_of_run(l)
+            sure = np.zeros(len(by), bool)
+            sure[by] = (r != r[head]) | (f != f[head])
+            shown = np.zeros(len(by), bool)
+            shown[by[head]] = close[by[head]] == 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(line), ids.take(pa.array(row)), th.take(pa.array(row)), pa.array(first), pa.array(end), pa.array(sure),
+                 pa.array([x if s else None for x, s in zip(text, shown.tolist())], pa.binary())],
+                names=["line", "doc_id", "th", "first", "end", "sure", "bytes"],
+            )
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    return written(map_arrow(rows, run, f"line long, doc_id {kind}, th long, first long, end long, sure boolean, bytes binary"))
+
+
+#: Lines of a bucket that one task compares with each other or with as many; larger buckets are dealt in pairs of such blocks.
+BLOCK = 1024
 
 
 def _pairs_within(t: float):
-    """Links (a, b) within each run of one key: a line is compared with the first of each group found so far."""
+    """Links (a, b) between lines of one bucket (or pair of its blocks) that are in different components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in multi_runs(batches, "key"):
-            heads: list[tuple[int, np.ndarray]] = []
+        for g in run_tables(batches, ["key", "i", "j"]):
+            line, lead, root, own = (g[c].to_numpy() for c in ("line", "lead", "root", "own"))
+            mark, raw = g["mark"].to_numpy().view(np.uint64), g["bytes"].to_pylist()
+            group = {r: r for r in root.tolist()}
+            sets: dict[int, np.ndarray] = {}
+
+            def top(x: int) -> int:
+                while group[x] != x:
+                    group[x] = group[group[x]]
+                    x = group[x]
+                return x
+
             a, b = [], []
-            for i, x in zip(g["line"].tolist(), g["bytes"]):
-                s = line_set(x)
-                near = [j for j, h in heads if _alike(s, h, t)]
-                a += [i] * len(near)
-                b += near
-                if not near:
-                    heads.append((i, s))
+            across = g["i"][0].as_py() != g["j"][0].as_py()
+            for x in range(len(line)):
+                other = np.arange(x + 1, len(line))
+                other = other[(root[other] != root[x]) & ((own[other] != own[x]) if across else True)]
+                other = other[(lead[other] != line[x]) & (line[other] != lead[x])]  # those pairs have been checked
+                for y in other[sketches_agree(mark[other], mark[x])].tolist():
+                    p, q = top(int(root[x])), top(int(root[y]))
+                    if p == q:
+                        continue
+                    for k in (x, y):
+                        if k not in sets:
+                            sets[k] = line_set(raw[k])
+                    if _alike(sets[x], sets[y], t):
+                        group[max(p, q)] = min(p, q)
+                        a.append(int(line[x]))
+                        b.append(int(line[y]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _alike(x: np.ndarray, y: np.ndarray, t: float) -> bool:
-    if min(len(x), len(y)) < t * max(len(x), len(y)) - 1e-9:
-        return False
-    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-    return both >= t * (len(x) + len(y) - both) - 1e-9
-
-
-def _occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, first byte, end byte, line id) of every line."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for a, z, raw, off in tx.chunks(b.column("text")):
-                _, start, end, first, h = line_spans(raw, off)
-                row = np.repeat(np.arange(a, z), np.diff(first))
-                base = off[row - a]
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(at), b.column("th").take(at), pa.array(start - base), pa.array(end - base), pa.array(h.view(np.int64))],
-                    names=["doc_id", "th", "first", "end", "line"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    return map_arrow(rows, run, f"doc_id {kind}, th long, first long, end long, line long")
+def near_lines(groups: DataFrame, lines: DataFrame, t: float = 0.8) -> DataFrame:
+    """(node, root) of every line that is near another; ``lines`` holds (line, bytes)."""
+    known = groups.filter("key is null and line <> lead").select(F.col("line").alias("a"), F.col("lead").alias("b"))
+    members = groups.filter("key is not null")
+    links = members.filter("line <> lead").select("line", "lead").distinct()
+    links = links.join(lines.select("line", F.col("bytes").alias("x")), "line")
+    links = links.join(lines.select(F.col("line").alias("lead"), F.col("bytes").alias("y")), "lead")
+    edges = written(map_arrow(links.select("line", "lead", "x", "y"), _similar(t), "a long, b long").unionByName(known))
+    joined = components(edges)
+    # buckets whose lines are not all in one component: each is compared with those of the others
+    rooted = members.join(joined.select(F.col("node").alias("line"), "root"), "line", "left").select("key", "line", "lead", F.coalesce("root", "line").alias("root"), "mark")
+    split = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low <> high and n > 2")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    left = rooted.join(split.select("key", parts.alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("line"), F.col("parts")).cast("int"))
+    left = left.join(lines, "line").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    left = left.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "line", "lead", "root", "mark", "bytes")
+    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "line")
+    more = written(map_arrow(left, _pairs_within(t), "a long, b long"))
+    if more.isEmpty():
+        return joined
+    return components(more.unionByName(joined.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
 def removals(docs: DataFrame, t: float = 0.8) -> DataFrame:
     """(doc_id, th, cuts): byte ranges of lines to cut from each text, th being its xxhash64."""
-    docs = docs.select("doc_id", "text").filter("doc_id is not null")
-    near = near_lines(docs.select("text"), t)
-    spots = _occurrences(docs)
-    spots = spots.join(near.select(F.col("node").alias("line"), "root"), "line", "left")
-    spots = spots.select("doc_id", "th", "first", "end", F.coalesce("root", "line").alias("root"))
+    docs = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    rows = map_arrow(docs.select("text"), bucket_rows(t), "key long, line long, mark long")
+    rows = rows.withColumn("to", F.coalesce("key", "line")).repartition("to").drop("to").sortWithinPartitions("key", "line")
+    groups = written(map_arrow(rows, bucket_groups, "key long, line long, lead long, mark long"))
+    spots = occurrences(docs, groups)
+    near = near_lines(groups, spots.filter("bytes is not null").select("line", "bytes").dropDuplicates(["line"]), t)
+    spots = spots.select("line", "doc_id", "th", "first", "end", "sure")
     place = F.struct("doc_id", "th", "first")
-    heads = spots.groupBy("root").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head <> tail")
-    gone = spots.join(heads.select("root", "head"), "root").filter(place != F.col("head"))
+    open_ = spots.filter("not sure").join(near.select(F.col("node").alias("line"), "root"), "line", "left")
+    open_ = open_.select("doc_id", "th", "first", "end", F.coalesce("root", "line").alias("root"))
+    heads = open_.groupBy("root").agg(F.min(place).alias("head"), F.max(place).alias("tail")).filter("head <> tail")
+    gone = open_.join(heads.select("root", "head"), "root").filter(place != F.col("head"))
+    gone = gone.select("doc_id", "th", "first", "end").unionByName(spots.filter("sure").select("doc_id", "th", "first", "end"))
     gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("first", "end"))).alias("cuts"))
     return written(gone)
 

@@ -137,6 +137,42 @@ def test_line_dedup_is_brute_force(docs):
     assert all(r.n_removed == 0 for r in report if r.doc_id is None)
 
 
+def templated(seed=3, families=6, size=60):
+    """One-line documents: words of a family's template replaced, so that many pairs are just near or just not."""
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(families):
+        base = sentence(rng, 16).split(" ")
+        for _ in range(size):
+            w = list(base)
+            for k in rng.sample(range(16), rng.randint(1, 4)):
+                w[k] = sentence(rng, 1)
+            rows.append(" ".join(w))
+    rng.shuffle(rows)
+    return [(i, t, None, None, None, None, None, None) for i, t in enumerate(rows)]
+
+
+@pytest.mark.parametrize("parts", [1, 12])
+def test_templated_families_are_brute_force_over_many_batches(spark, parts, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    rows = templated()
+    report = line_dedup.line_report(spark.createDataFrame(rows, SCHEMA).repartition(parts)).collect()
+    got = {(r.doc_id, x) for r in report for x in r.removed}
+    want = brute_lines(rows)
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_many_chunks_do_not_change_lines(spark, docs, monkeypatch):
+    monkeypatch.setattr(line_dedup.tx, "CHUNK", 300)
+    monkeypatch.setattr(line_dedup.tx.chunks, "__defaults__", (300,))
+    batch = spark.createDataFrame(corpus(), SCHEMA).select("text").toArrow().to_batches()
+    small = [b.to_pylist() for b in line_dedup.bucket_rows(0.8)(iter(batch))]
+    monkeypatch.undo()
+    large = [b.to_pylist() for b in line_dedup.bucket_rows(0.8)(iter(batch))]
+    flat = lambda x: {(r["key"], r["line"], r["mark"]) for b in x for r in b}
+    assert flat(small) == flat(large) and len(flat(small)) > 1000
+
+
 def test_dedup_lines_cuts_and_keeps_columns(docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect() if r.doc_id is not None}
     assert line_dedup.dedup_lines(docs).columns == docs.columns
