@@ -11,8 +11,8 @@ counts over all files. Templates are header forms, titles and the full texts in
 file's own if the cosine reaches ``threshold``; a short part that names other
 versions than a template does not match it, and a bare reservation of rights
 counts only where no other licence does. SPDX tags are read as identifiers. A
-file is a licence file by its name, by a whole text that reaches the threshold,
-or if header lines make up half of it. A file without one inherits from the nearest ancestor directory
+file is a licence file by its name, or by a whole text that reaches the threshold.
+A file without a licence inherits from the nearest ancestor directory
 that has a licence file: every file's ancestors are joined by path to the
 directories' licences, and the deepest match wins.
 
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._run import map_arrow, written
+from gridloom.llm._run import map_arrow, sized, written
 
 
 def _cc(short: str, long: str) -> tuple[str, ...]:
@@ -166,11 +166,6 @@ def parts(text: str) -> Iterator[str]:
             yield from filter(_CUE.search, _SENTENCE.split(paragraph))
 
 
-def covered(text: str) -> int:
-    """Characters of a text's header lines."""
-    return sum(len(line) for line in text.split("\n") if _CUE.search(line))
-
-
 class Scanner:
     def __init__(self, templates: Mapping[str, Sequence[str]], idf: Mapping[str, float], rest: float, threshold: float):
         self.idf, self.rest, self.threshold = dict(idf), rest, threshold
@@ -259,21 +254,24 @@ def scan(files: DataFrame, templates: Mapping[str, str | Sequence[str]] = TEMPLA
                 name, c, whole = scanner.best(p, t) if t else (None, 0.0, False)
                 own.append(name if c >= threshold else None)
                 cos.append(round(c, 9))
-                is_file.append(own[-1] is not None and (whole or covered(t) >= 0.5 * len(t) or bool(p and _FILE.search(p))))
+                is_file.append(own[-1] is not None and (whole or bool(p and _FILE.search(p))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("path"), pa.array(own, pa.string()), pa.array(cos, pa.float64()), pa.array(is_file, pa.bool_())],
                 names=["id", "path", "own", "cosine", "is_file"],
             )
 
     own = written(map_arrow(files.select("id", "path", "text"), run, f"id {kind}, path string, own string, cosine double, is_file boolean"))
-    folder = F.regexp_replace("path", "/[^/]*$", "")
+    folder = F.regexp_replace("path", "/?[^/]*$", "")  # the root of relative paths is ""
     rank = F.struct((-F.col("cosine")).alias("c"), F.col("path").alias("p"), F.col("own").alias("o"))
     granted = own.filter("is_file and path is not null").groupBy(folder.alias("dir")).agg(F.min(rank).alias("best"))
     # every ancestor directory of the directories that hold files without a licence: one row a level, once each
     dirs = own.filter("own is null and path is not null").select(folder.alias("at")).distinct()
     pieces = F.split("at", "/")
-    above = dirs.select("at", F.explode(F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(pieces, F.lit(1), k), "/").alias("dir")))).alias("u"))
+    above = dirs.select("at", F.explode(F.transform(F.sequence(F.lit(0), F.size(pieces)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(pieces, F.lit(1), k), "/").alias("dir")))).alias("u"))
     above = above.select("at", "u.depth", "u.dir").join(granted, "dir")
+    # one row a directory: counted, and broadcast only if small, as no file with a licence of its own has a key
     nearest = above.groupBy("at").agg(F.max_by(F.struct("best.o", "dir"), "depth").alias("got")).select("at", F.col("got.o").alias("o"), F.col("got.dir").alias("from"))
-    out = own.withColumn("at", F.when(F.col("own").isNull(), folder)).join(nearest, "at", "left")
+    bare = own.filter("own is null").withColumn("at", folder).join(sized(written(nearest), 256), "at", "left").drop("at")
+    none = F.lit(None).cast("string")
+    out = bare.unionByName(own.filter("own is not null").withColumns({"o": none, "from": none}))
     return out.select("id", "path", "own", "cosine", F.coalesce("own", "o").alias("license"), F.when(F.col("own").isNull(), F.col("from")).alias("inherited_from"))
