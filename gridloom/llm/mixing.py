@@ -6,7 +6,7 @@ repeating; together they are to have ``share`` of all words. A target stops at
 ends at ``target = min(cap * size, level * weight)`` for one common level.
 
 Sampling. A document of a source is expected ``target / size of the source``
-times. In a fixed order (size class, then a keyed digest of the id) those
+times. In a fixed order (size class, then a keyed digest of id and text) those
 expectations are summed up within the source, one offset in [0, 1) drawn from
 the seed and the source is added, and the document is emitted once for each
 integer that the sum crosses. So a document is taken floor or ceil of its
@@ -19,8 +19,9 @@ digits of the digest), summed up over at most 16 * 64 * 256 buckets a source,
 plus a rank within one bucket. A source that holds a third of all rows is so
 split over its buckets; texts are not shuffled by the operator's narrow form.
 
-Cases. Null text has size 0. A null source is a source of its own, last. Equal
-rows are interchangeable. Sources without words have target 0 and are not
+Cases. Null text has size 0. A null source is a source of its own, last. Rows
+of one id (or of none) with several texts are told apart by the texts, so reruns and other
+orders of the input agree; rows equal in id, text and source are interchangeable. Sources without words have target 0 and are not
 taken. An empty table gives no rows. Extra columns are dropped by
 :func:`mix_sizes` and kept by :func:`mix`, whose own names are prefixed.
 """
@@ -44,6 +45,10 @@ def word_size(text: Column) -> Column:
     return F.coalesce(F.regexp_count(spaces, F.lit("[^ ]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def text_md5() -> Column:
+    return F.coalesce(F.md5("text"), F.lit("-")).alias("text_md5")
+
+
 def size_class(size: Column) -> Column:
     """An integer that grows with size: its binary digits, and its five leading ones."""
     digits = F.bin(size + 1)
@@ -78,11 +83,12 @@ def source_targets(
 
 
 def with_copies(keyed: DataFrame, weights: Sequence[int], share: float, cap: float, seed: str) -> DataFrame:
-    """(doc_id, source, size) with source_size, target and copies, by systematic sampling."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    """(doc_id, source, size, text_md5) with source_size, target and copies, by systematic sampling."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("text_md5")))
     keyed = (
         keyed.withColumn("cls", size_class(F.col("size")))
         .withColumn("digest", digest)
+        .drop("text_md5")
         .withColumn("bin", F.substring("digest", 1, 2))
     )
     counts = keyed.groupBy("source", "cls", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
@@ -108,7 +114,7 @@ def with_copies(keyed: DataFrame, weights: Sequence[int], share: float, cap: flo
     rank = (F.col("ahead") + F.col("rank")).cast("double")
     crossed = F.floor(offset + F.col("rate") * rank) - F.floor(offset + F.col("rate") * (rank - 1.0))
     return ranked.select(
-        *[F.col(f"k.{c}") for c in keyed.columns if c not in ("cls", "digest", "bin")],
+        *[F.col(f"k.{c}") for c in keyed.columns if c not in ("cls", "digest", "bin", "text_md5")],
         "source_size", "target", crossed.cast("long").alias("copies"),
     )
 
@@ -117,7 +123,7 @@ def mix_sizes(
     docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "mix"
 ) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes) of every document."""
-    keyed = docs.select("doc_id", "source", word_size(F.col("text")).alias("size"))
+    keyed = docs.select("doc_id", "source", word_size(F.col("text")).alias("size"), text_md5())
     out = with_copies(keyed, weights, share, cap, seed)
     taken = (F.col("copies") * F.col("size")).cast("long")
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "copies")
@@ -132,7 +138,7 @@ def mix(
     """
     own = [c for c in docs.columns if c != "copy"]
     keyed = docs.select(
-        "doc_id", "source", word_size(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
+        "doc_id", "source", word_size(F.col("text")).alias("size"), text_md5(), F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row")
     )
     out = with_copies(keyed, weights, share, cap, seed)
     out = out.filter("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
@@ -141,7 +147,7 @@ def mix(
 
 ORACLE = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents
 ), s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
@@ -156,11 +162,11 @@ w AS (
 ), t AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, max(lvl) OVER () * w) AS target FROM l
 ), k AS (
-  SELECT d.*, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS digest,
+  SELECT d.*, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(md5(text), '-')) AS digest,
          length(bin(size + 1)) * 100000 + CAST(substr(bin(size + 1), 1, 5) AS INTEGER) AS cls
   FROM d
 ), r AS (
-  SELECT k.*, t.source_size, t.target,
+  SELECT k.doc_id, k.source, k.size, k.cls, k.digest, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
          CAST(row_number() OVER (PARTITION BY k.source ORDER BY cls, digest, doc_id) AS DOUBLE) AS rank,
          CAST(CAST('0x' || substr(md5('mix/' || coalesce(k.source, chr(0))), 1, 8) AS BIGINT) AS DOUBLE)
