@@ -10,9 +10,9 @@ similarity t or more share at least one child of a shared node on average, and
 reach a common leaf of a given depth with the survival probability of a
 branching process, from which the number of runs for ``recall`` is computed.
 Leaves with two or more classes are brute-forced on 512-bit sketches (one bit
-of each of 512 minimum hashes); a leaf of more than ``brute`` classes is
-first split further by slices of the sketches. Pairs within three standard
-errors of the threshold are candidates; each leaf gives a spanning star.
+of each of 512 minimum hashes), a large leaf in pairs of blocks that are dealt
+over tasks. Pairs within three standard errors of the threshold are candidates;
+each leaf (or pair of blocks) gives spanning stars.
 
 Candidates' components (distributed union-find) are then verified exactly on
 the sets themselves, all pairs within a component in blocks of ``block``
@@ -23,7 +23,9 @@ only one row a class and block; sets move once a block pair.
 Scale. One narrow pass over the texts, a shuffle of leaf rows (about 20 a
 class, 90 bytes each), and one shuffle of texts and sets, of near documents
 only. Leaves are dealt by path; common passages thin out by
-(shared part / t) ^ depth; ``depth`` may be raised with the corpus.
+(shared part / t) ^ depth, and ``depth`` grows with the logarithm of the number of
+documents, the runs following so that the recall stays. A component of M classes
+is compared in about M * M / 2 pairs, by blocks: large families cost so much.
 
 Cases. Fewer than n words: one shingle of all words. Null text or no words: no
 links, a group of its own. Copies in one class are linked to each other. Rows
@@ -135,41 +137,44 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return BITS - np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(2, dtype=np.int32)
 
 
-def leaf_stars(sk: np.ndarray, least: int, brute: int = 1024) -> np.ndarray:
-    """Each row's least partner-by-chain among rows whose sketches agree in ``least`` bits."""
+def leaf_stars(sk: np.ndarray, least: int, part: np.ndarray | None = None) -> np.ndarray:
+    """Each row's least partner-by-chain among rows whose sketches agree in ``least`` bits; all pairs are
+    compared, or, where rows are of two parts, all pairs across."""
     n = len(sk)
     root = np.arange(n)
-    if n <= brute:
-        pairs = [(i, _agree(sk[i : i + 256], sk)) for i in range(0, n, 256)]
-        a = np.concatenate([i + np.nonzero(m >= least)[0] for i, m in pairs])
-        b = np.concatenate([np.nonzero(m >= least)[1] for _, m in pairs])
-        return local_roots(n, a, b)
-    edges_a, edges_b = [], []
-    slices = np.ascontiguousarray(sk).view(np.uint16)  # 32 slices of 16 bits
-    for k in range(slices.shape[1]):
-        order = np.argsort(slices[:, k], kind="stable")
-        v = slices[order, k]
-        cuts = np.concatenate([[0], np.flatnonzero(v[1:] != v[:-1]) + 1, [n]])
-        for x, y in zip(cuts[:-1], cuts[1:]):
-            rest = order[x:y]
-            while len(rest) > 1:  # a leader takes all that are near it; the others choose another
-                near = _agree(sk[rest[:1]], sk[rest])[0] >= least
-                edges_a.append(rest[near])
-                edges_b.append(np.full(int(near.sum()), rest[0]))
-                rest = rest[~near]
-    return local_roots(n, np.concatenate(edges_a), np.concatenate(edges_b)) if edges_a else root
-
-
-def candidate_edges(classes: DataFrame, t: float, brute: int) -> DataFrame:
-    """Spanning stars (a, b) of each leaf's candidates."""
+    for i in range(0, n, 256):
+        near = _agree(sk[i : i + 256], sk) >= least
+        if part is not None:
+            near &= part[i : i + 256, None] != part[None, :]
+        a, b = np.nonzero(near)
+        if n <= 256:
+            return local_roots(n, a, b) if (a != b).any() else root
+        root = local_roots(n, np.concatenate([np.arange(n), a + i]), np.concatenate([root, b]))
+    return root
+
+
+def candidate_edges(classes: DataFrame, t: float, block: int) -> DataFrame:
+    """Spanning stars (a, b) of each leaf's candidates.
+
+    A leaf of more than ``block`` classes is dealt over tasks in pairs of blocks of about so many, each pair
+    of classes meeting in one of them, so that every leaf is compared in all pairs whatever its size.
+    """
     agree = (1 + t) / 2
     least = math.floor(BITS * (agree - 3 * math.sqrt(agree * (1 - agree) / BITS)))
     rows = classes.select(F.explode("leaves").alias("path"), "cls", "sketch")
+    parts = rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > block)
+    parts = written(parts.select(F.col("path").alias("large"), F.ceil(F.col("n") / block).cast("int").alias("parts")))
+    rows = rows.join(sized(parts, 32), F.expr("path = large"), "left").drop("large")
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    cell = F.when(F.col("parts") > 1, F.xxhash64("path", F.least("own", "other"), F.greatest("own", "other"))).otherwise(F.col("path"))
+    rows = rows.select(cell.alias("path"), "cls", "own", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in multi_runs(batches, "path"):
             sk = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(-1, BITS // 64)
-            root = leaf_stars(sk, least, brute)
+            part = g["own"]
+            root = leaf_stars(sk, least, part if (part != part[0]).any() else None)
             off = np.flatnonzero(root != np.arange(len(root)))
             if len(off):
                 cls = g["cls"]
@@ -178,6 +183,11 @@ def candidate_edges(classes: DataFrame, t: float, brute: int) -> DataFrame:
     return map_arrow(sorted_groups(rows, ["path"], ["cls"]), run, "a long, b long").distinct()
 
 
+def depth_for(classes: int) -> int:
+    """Levels of the trees: three up to a million documents, and one more for each fourfold, so that leaves stay small."""
+    return 3 + max(0, math.ceil(math.log(max(classes, 1) / 1e6, 4)))
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections."""
     n = len(sets)
@@ -258,14 +268,14 @@ def verified(docs: DataFrame, classes: DataFrame, comps: DataFrame, n: int, t: f
     return map_arrow(sorted_groups(held, ["root", "i", "j"], ["cls"]), compare, "cls long, links long, root long")
 
 
-def _grouped(docs: DataFrame, n: int, t: float, depth: int, recall: float, block: int, brute: int) -> DataFrame:
+def _grouped(docs: DataFrame, n: int, t: float, depth: int | None, recall: float, block: int, leaf: int) -> DataFrame:
     """doc_id, th, group_id and n_links of every row with an id."""
     docs = docs.filter(F.col("doc_id").isNotNull())
-    rows = written(profile(docs, n, t, depth, recall))
+    rows = written(profile(docs, n, t, depth or depth_for(docs.count()), recall))
     classes = rows.filter("cls is not null").groupBy("cls").agg(
         F.count("*").alias("copies"), F.min("doc_id").alias("rep"), F.first("leaves").alias("leaves"), F.first("sketch").alias("sketch")
     )
-    comps = components(candidate_edges(classes, t, brute))
+    comps = components(candidate_edges(classes, t, leaf))
     classes = classes.select("cls", "copies", "rep")
     linked = written(verified(docs, classes, comps, n, t, block))
     final = components(linked.select(F.col("cls").alias("a"), F.col("root").alias("b")))
@@ -282,17 +292,17 @@ def _grouped(docs: DataFrame, n: int, t: float, depth: int, recall: float, block
 
 
 def ngram_groups(
-    docs: DataFrame, n: int = 5, t: float = 0.8, depth: int = 3, recall: float = 0.995, block: int = 512, brute: int = 1024
+    docs: DataFrame, n: int = 5, t: float = 0.8, depth: int | None = None, recall: float = 0.995, block: int = 512, leaf: int = 4096
 ) -> DataFrame:
     """doc_id, group_id (the least id of its group) and n_links (other documents of similarity >= ``t``)."""
-    out = _grouped(docs, n, t, depth, recall, block, brute).select("doc_id", "group_id", "n_links")
+    out = _grouped(docs, n, t, depth, recall, block, leaf).select("doc_id", "group_id", "n_links")
     null_ids = docs.filter(F.col("doc_id").isNull())
     return out.unionByName(null_ids.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each group, that of the least id, with all its columns; rows with a null id stay."""
-    o = {"n": 5, "t": 0.8, "depth": 3, "recall": 0.995, "block": 512, "brute": 1024} | options
+    o = {"n": 5, "t": 0.8, "depth": None, "recall": 0.995, "block": 512, "leaf": 4096} | options
     marked = _grouped(docs, **o)
     # drop is by (id, text); of rows that are equal in both, one stays
     lost = written(marked.filter("doc_id <> group_id").select(F.col("doc_id").alias("lost_id"), F.col("th").alias("lost_th")).distinct())
