@@ -28,7 +28,7 @@ only lets more lines through. What a batch holds of a line after its first place
 sure to go and is not joined, so a line that a third of all texts hold is a row a batch.
 
 Cases. A null text stays null, an empty text empty. A document whose lines all
-go stays, with an empty text. A repeated row (same id and text) is one document
+go stays, with an empty text, unless :func:`dedup_lines` is told to drop it. A repeated row (same id and text) is one document
 and both rows keep the same lines. Rows with a null id are unchanged and take
 no part. Empty tables give no rows. All other columns are kept, whatever their
 names, as one struct that travels beside the text.
@@ -488,9 +488,14 @@ def with_cuts(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(sized(gone, 200), match, "left").drop("cut_id", "cut_th")
 
 
-def dedup_lines(docs: DataFrame, t: float = 0.8) -> DataFrame:
-    """The documents without their repeated lines; all columns are kept, and n_chars, if there, follows the text."""
-    return unpacked(cut(with_cuts(packed(docs), removals(docs, t)), "text", "cuts"), docs)
+def dedup_lines(docs: DataFrame, t: float = 0.8, drop_emptied: bool = False) -> DataFrame:
+    """The documents without their repeated lines; all columns are kept, and n_chars, if there, follows the text.
+    With ``drop_emptied`` a document that loses lines and has no word left goes; one that had none stays."""
+    rows = with_cuts(packed(docs), removals(docs, t)).withColumn("lost", F.col("cuts").isNotNull())
+    rows = cut(rows, "text", "cuts")
+    if drop_emptied:
+        rows = rows.filter(~F.col("lost") | F.col("text").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    return unpacked(rows, docs)
 
 
 def line_report(docs: DataFrame, t: float = 0.8) -> DataFrame:

@@ -173,6 +173,11 @@ def test_many_chunks_do_not_change_lines(spark, docs, monkeypatch):
     assert flat(small) == flat(large) and len(flat(small)) > 1000
 
 
+def test_emptied_documents_are_dropped_on_demand(docs):
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, drop_emptied=True).collect()}
+    assert 2 not in out and out[60] is None and out[61] == "" and out[0] == corpus()[0][1]
+
+
 def test_dedup_lines_cuts_and_keeps_columns(docs):
     out = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect() if r.doc_id is not None}
     assert line_dedup.dedup_lines(docs).columns == docs.columns
@@ -209,6 +214,14 @@ def test_mix_targets_and_copies(docs):
     assert {(r.doc_id, r.taken) for r in mixing.mix_sizes(docs).collect()} == {(r.doc_id, r.taken) for r in mixing.mix_sizes(docs.repartition(7)).collect()}
 
 
+def test_mix_of_one_id_with_several_texts_agrees_in_any_order(spark):
+    texts = [" ".join(["w"] * n) + f" {n}" for n in (30, 31, 32, 33, 34, 35, 36, 37, 38)]
+    rows = [(i, t, None, "a", 0, None, 0, None) for i in (7, None) for t in texts] + [(9, "x " * 300, None, "b", 0, None, 0, None)]
+    taken = lambda r, n: sorted((x.doc_id or -1, x.size, x.taken) for x in mixing.mix_sizes(spark.createDataFrame(r, SCHEMA).repartition(n)).collect())
+    first = taken(rows, 1)
+    assert first == taken(rows[::-1], 3) == taken(rows[5:] + rows[:5], 5)
+
+
 def test_mix_emits_once_a_boundary(spark):
     rows = [(i, "w " * 3, None, "a" if i < 900 else "b", 0) for i in range(1000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copy long").withColumn("copies", F.lit(9))
@@ -457,15 +470,25 @@ def test_ngram_groups_are_brute_force(docs, nothing):
     assert ngram_join.ngram_groups(nothing).count() == 0 and ngram_join.keep_one(nothing).count() == 0
 
 
-def test_large_leaf_is_split_like_brute_force():
+def test_large_leaf_in_blocks_is_brute_force(docs):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, (5, 8), dtype=np.int64).view(np.uint64)
     rows = np.repeat(base, 80, 0)
     for i in range(len(rows)):
         for _ in range(6):
             rows[i, rng.integers(8)] ^= np.uint64(1) << np.uint64(rng.integers(64))
-    small, large = ngram_join.leaf_stars(rows, 460), ngram_join.leaf_stars(rows, 460, brute=10)
-    assert (small == large).all() and len(set(small.tolist())) == 5
+    whole = ngram_join.leaf_stars(rows, 460)
+    near = ngram_join._agree(rows, rows) >= 460
+    assert (whole == ngram_join.local_roots(len(rows), *np.nonzero(near))).all() and len(set(whole.tolist())) == 5
+    part = rng.integers(0, 2, len(rows))
+    across = ngram_join.leaf_stars(rows, 460, part)
+    assert (across == ngram_join.local_roots(len(rows), *np.nonzero(near & (part[:, None] != part[None, :])))).all()
+    few = sorted(tuple(r) for r in ngram_join.ngram_groups(docs, leaf=1).filter("doc_id is not null").collect())
+    assert few == sorted(tuple(r) for r in ngram_join.ngram_groups(docs).filter("doc_id is not null").collect())
+
+
+def test_depth_grows_with_the_corpus():
+    assert [ngram_join.depth_for(n) for n in (0, 10**6, 4 * 10**6, 10**9)] == [3, 3, 4, 8]
 
 
 def test_runs_needed_reach_the_recall():
@@ -496,6 +519,13 @@ def test_licenses_and_inheritance(spark):
     assert licenses.scan(d).count() == len(files) and licenses.scan(d.limit(0)).count() == 0
 
 
+def test_licenses_of_the_root_and_of_mixed_files(spark):
+    header = "Released under the MIT License."
+    files = [(1, "LICENSE", header), (2, "src/x/y.c", "int main"), (3, "lib/z.c", header + "\n" + sentence(random.Random(1), 40)), (4, "lib/w.c", "other code")]
+    got = {r.id: (r.license, r.inherited_from) for r in licenses.scan(spark.createDataFrame(files, "id long, path string, text string")).collect()}
+    assert got == {1: ("MIT", None), 2: ("MIT", ""), 3: ("MIT", None), 4: ("MIT", "")}
+
+
 def owned(spark, texts):
     d = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "id long, path string, text string")
     d = d.unionByName(spark.range(100, 400).selectExpr("id", "'x/y' path", "concat('some words of no licence by and for all ', id) text"))

@@ -24,7 +24,9 @@ def test_stages_keep_columns_and_take_effect(spark, folder):
         seen[name] = docs.cache()
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert seen["line dedup"].filter("text = ''").count() > 0
+    emptied = seen["quality classifier"].join(seen["line dedup"], "doc_id", "left_anti")
+    assert emptied.count() > 0 and emptied.filter("text is null or trim(text) = ''").count() == 0
+    assert seen["line dedup"].filter("doc_id = 2").count() == 0  # every line of it is held by document 0
     assert seen["benchmark decontamination"].filter("doc_id = 9").count() == 0
     assert seen["n-gram Jaccard join"].filter("doc_id = 9").count() == 1
     assert seen["mixing sources"].filter(F.col("copy") > 2).count() == 0
