@@ -3,6 +3,14 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again before the next stage. All stages but the
 last return the columns of ``documents``; the last adds ``copy``.
+
+Cases. Rows with a null id pass the first three stages unchanged and are judged by
+their text in the others. Null and empty texts have the quality of a text without
+features; they have no lines, no near duplicates and no benchmark words, and size 0
+in the mix. Rows that are equal in id and text are one document for the lines, and
+one of them passes the near-duplicate stage. Empty tables give no rows. Columns
+beside doc_id, text, source and n_chars travel untouched, whatever their names;
+n_chars follows the text, and a column called ``copy`` is replaced by the last stage.
 """
 
 from __future__ import annotations
@@ -19,8 +27,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; one of each stays."""
-    return line_dedup.dedup_lines(docs)
+    """Repeated and nearly repeated lines go, one of each stays; so do documents that have no word left of those they had."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
