@@ -40,9 +40,9 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def word_size(text: Column) -> Column:
-    """Runs of bytes other than the six ASCII spaces: where such a run begins, counted without an array."""
-    spaces = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.regexp_count(spaces, F.lit("[^ ]+")).cast("long"), F.lit(0).cast("long"))
+    """Runs of characters other than the six ASCII spaces: each made one letter and the spaces dropped, with no array of words."""
+    letters = F.translate(F.regexp_replace(text, F.lit(WORDS), F.lit("a")), "\t\n\x0b\x0c\r ", "")
+    return F.coalesce(F.length(letters).cast("long"), F.lit(0).cast("long"))
 
 
 def text_md5() -> Column:
@@ -91,6 +91,8 @@ def with_copies(keyed: DataFrame, weights: Sequence[int], share: float, cap: flo
         .drop("text_md5")
         .withColumn("bin", F.substring("digest", 1, 2))
     )
+    if "_row" not in keyed.columns:
+        keyed = written(keyed)  # narrow: texts are read and counted once
     counts = keyed.groupBy("source", "cls", "bin").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     counts = written(counts)  # small: one row a bucket; read for the targets and for the offsets
     ahead = Window.partitionBy("source").orderBy("cls", "bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,8 +108,8 @@ def with_copies(keyed: DataFrame, weights: Sequence[int], share: float, cap: flo
     ranked = ranked.alias("k").join(
         buckets.alias("b"),
         F.col("k.source").eqNullSafe(F.col("b.source"))
-        & (F.col("k.cls") == F.col("b.cls"))
-        & (F.col("k.bin") == F.col("b.bin")),
+        & F.col("k.cls").eqNullSafe(F.col("b.cls"))  # never null: no filter that would count the words again
+        & F.col("k.bin").eqNullSafe(F.col("b.bin")),
     )
     start = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("k.source"), F.lit("\x00"))))
     offset = F.conv(F.substring(start, 1, 8), 16, 10).cast("double") / 4294967296.0
