@@ -1,8 +1,10 @@
 """Order-dependent and linear-algebra kernels on whole arrays, run one grid (or tile) a task.
 
 A kernel takes float arrays (NaN is nodata) and returns arrays of the same
-shape. :func:`run` groups a table by its grid id, so many grids, tiles or basins
-run side by side; one grid must fit in a task, as these kernels need it whole.
+shape. :func:`run` groups a table by its grid id, so many grids or basins run side
+by side; kernels of a bounded reach run over tiles with a halo, so that a grid of any
+size is dealt over all tasks. :func:`flooded` fills depressions over tiles by the
+graph of their rims. Only kernels without such a form need a grid whole.
 """
 
 from __future__ import annotations
@@ -16,20 +18,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.plans.lineage import workers_see_package
+from gridloom.plans.lineage import workers_see_package, written
 
 STEPS = ((0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1))
 FAR = tuple(math.hypot(*s) for s in STEPS)
 
 
-def run(df: DataFrame, kernel: Callable[..., dict[str, np.ndarray] | np.ndarray], out: dict[str, str], bands: tuple[str, ...] = ("v",), by: str | None = None) -> DataFrame:
-    """(r, c, *out): ``kernel`` over the arrays of ``bands``, for each ``by`` (one grid if None)."""
+def run(
+    df: DataFrame,
+    kernel: Callable[..., dict[str, np.ndarray] | np.ndarray],
+    out: dict[str, str],
+    bands: tuple[str, ...] = ("v",),
+    by: str | None = None,
+    halo: int | None = None,
+    tile: int = 512,
+) -> DataFrame:
+    """(r, c, *out): ``kernel`` over the arrays of ``bands``, for each ``by`` (one grid if None).
+
+    A kernel whose results hang on cells within ``halo`` rows and columns only runs tile by
+    tile: each tile's group holds the cells within ``halo`` of it too (a share of about
+    4 * halo / tile more), and gives its own cells. Without ``halo`` a grid is one group.
+    """
     workers_see_package(df.sparkSession)
+    df = df.select("r", "c", *bands, *([by] if by else []))
+    keys = ["_g"]
     df = df.withColumn("_g", F.lit(0) if by is None else F.col(by))
+    if halo is not None:
+        near = lambda x: F.explode(F.sequence(F.floor((F.col(x) - halo) / tile), F.floor((F.col(x) + halo) / tile)).cast("array<int>"))
+        df = df.withColumn("_tr", near("r")).withColumn("_tc", near("c"))
+        keys += ["_tr", "_tc"]
 
     def one(p: pd.DataFrame) -> pd.DataFrame:
         r0, c0 = int(p["r"].min()), int(p["c"].min())
         r, c = p["r"].to_numpy() - r0, p["c"].to_numpy() - c0
+        own = np.ones(len(p), bool)
+        if halo is not None:
+            own = (p["r"].to_numpy() // tile == p["_tr"].to_numpy()) & (p["c"].to_numpy() // tile == p["_tc"].to_numpy())
+        if not own.any():  # cells beside an empty tile
+            return pd.DataFrame({"r": [], "c": []} | {k: [] for k in out} | ({by: []} if by else {}))
         arrays = []
         for b in bands:
             a = np.full((r.max() + 1, c.max() + 1), np.nan)
@@ -43,12 +69,12 @@ def run(df: DataFrame, kernel: Callable[..., dict[str, np.ndarray] | np.ndarray]
             res[k] = pd.Series(x, index=p.index).where(np.isfinite(x)) if t == "double" else np.nan_to_num(x).astype("int32")
         if by is not None:
             res[by] = p[by]
-        return res
+        return res[own]
 
     schema = "r int, c int, " + ", ".join(f"{k} {t}" for k, t in out.items())
     if by is not None:
         schema += f", {by} {df.schema[by].dataType.simpleString()}"
-    return df.groupBy("_g").applyInPandas(one, schema)
+    return df.groupBy(*keys).applyInPandas(one, schema)
 
 
 def shifted(a: np.ndarray, dr: int, dc: int, fill: float = np.nan) -> np.ndarray:
@@ -91,6 +117,129 @@ def priority_flood(z: np.ndarray, eps: float = 0.0) -> np.ndarray:
     return out
 
 
+def rim_flood(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A tile filled as if its rim were an outlet, and the flat index of the rim (or outlet) cell whose water holds each cell."""
+    level, owner = np.where(np.isnan(z), np.nan, np.inf), np.full(z.shape, -1)
+    n, m = z.shape
+    seeds = np.zeros(z.shape, bool)
+    for dr, dc in STEPS:
+        seeds |= np.isnan(shifted(z, dr, dc))
+    seeds &= ~np.isnan(z)
+    heap = [(z[r, c], r, c) for r, c in np.argwhere(seeds).tolist()]
+    for h, r, c in heap:
+        level[r, c], owner[r, c] = h, r * m + c
+    heapq.heapify(heap)
+    while heap:
+        h, r, c = heapq.heappop(heap)
+        for dr, dc in STEPS:
+            a, b = r + dr, c + dc
+            if inside(z.shape, a, b) and owner[a, b] < 0 and not np.isnan(z[a, b]):
+                level[a, b], owner[a, b] = max(z[a, b], h), owner[r, c]
+                heapq.heappush(heap, (level[a, b], a, b))
+    return level, owner
+
+
+def flooded(df: DataFrame, tile: int = 512) -> DataFrame:
+    """(r, c, v): :func:`priority_flood` over tiles of a grid of any size (after Barnes 2016).
+
+    Each tile is filled down to its rim alone, which gives every cell the rim cell whose water
+    holds it and the passes between the waters of two rim cells. Waters of neighbouring tiles meet
+    across their rims. The lowest way out from every rim cell is solved on that graph, about
+    4 / tile of the cells, in one task; then each tile raises its cells to what their water needs.
+    """
+    workers_see_package(df.sparkSession)
+    g = df.select("r", "c", "v", F.floor(F.col("r") / tile).cast("int").alias("tr"), F.floor(F.col("c") / tile).cast("int").alias("tc"))
+    # one ring of neighbours tells a grid's edge and gaps from a tile's rim
+    ring = lambda x: F.explode(F.sequence(F.floor((F.col(x) - 1) / tile), F.floor((F.col(x) + 1) / tile)).cast("array<int>"))
+    wide = df.filter("v is not null").select("r", "c", "v", ring("r").alias("tr")).select("r", "c", "v", "tr", ring("c").alias("tc"))
+
+    def local(p: pd.DataFrame):
+        tr, tc = int(p["tr"].iloc[0]), int(p["tc"].iloc[0])
+        z = np.full((tile + 2, tile + 2), np.nan)
+        z[p["r"] - tr * tile + 1, p["c"] - tc * tile + 1] = p["v"]
+        return tr, tc, z, *rim_flood(z[1:-1, 1:-1])
+
+    def names(owner: np.ndarray, tr: int, tc: int) -> np.ndarray:
+        r, c = np.divmod(owner, tile)
+        return ((r + tr * tile).astype(np.int64) << 32) | (c + tc * tile)
+
+    def links(p: pd.DataFrame) -> pd.DataFrame:
+        tr, tc, z, level, owner = local(p)
+        if (owner < 0).all():
+            return pd.DataFrame({"a": [], "b": [], "h": []})
+        a_, b_, h_ = [], [], []
+        for dr, dc in STEPS[:4]:
+            other, high = shifted(owner.astype(float), dr, dc, -1.0), shifted(level, dr, dc)
+            on = (owner >= 0) & (other >= 0) & (other != owner)
+            a_.append(names(owner[on], tr, tc))
+            b_.append(names(other[on].astype(np.int64), tr, tc))
+            h_.append(np.maximum(level[on], high[on]))
+        gap = np.zeros(owner.shape, bool)  # beside the grid's edge or a gap: the way out
+        for dr, dc in STEPS:
+            there = shifted(z, dr, dc)[1:-1, 1:-1]
+            gap |= np.isnan(there)
+            edge = np.zeros(owner.shape, bool)
+            if dr:
+                edge[0 if dr < 0 else -1, :] = True
+            if dc:
+                edge[:, 0 if dc < 0 else -1] = True
+            on = edge & (owner >= 0) & ~np.isnan(there)
+            r, c = np.nonzero(on)
+            beyond = ((r + dr < 0) | (r + dr >= tile) | (c + dc < 0) | (c + dc >= tile))
+            r, c = r[beyond], c[beyond]
+            a_.append(names(owner[r, c], tr, tc))
+            b_.append(((r + dr + tr * tile).astype(np.int64) << 32) | (c + dc + tc * tile))  # a rim cell of the next tile: its own water
+            h_.append(np.maximum(z[r + 1, c + 1], there[r, c]))
+        on = gap & (owner >= 0)
+        a_.append(names(owner[on], tr, tc))
+        b_.append(np.full(int(on.sum()), -1, np.int64))
+        h_.append(z[1:-1, 1:-1][on])
+        out = pd.DataFrame({"a": np.concatenate(a_), "b": np.concatenate(b_), "h": np.concatenate(h_)})
+        return out.groupby(["a", "b"], as_index=False)["h"].min()
+
+    def ways_out(p: pd.DataFrame) -> pd.DataFrame:
+        node, at = np.unique(np.concatenate([p["a"], p["b"]]), return_inverse=True)
+        a, b = np.split(at, 2)
+        h = p["h"].to_numpy()
+        order = np.argsort(np.concatenate([a, b]), kind="stable")
+        to, cost = np.concatenate([b, a])[order], np.concatenate([h, h])[order]
+        first = np.searchsorted(np.concatenate([a, b])[order], np.arange(len(node) + 1))
+        best = np.full(len(node), np.inf)
+        heap = [(-np.inf, int(np.searchsorted(node, -1)))] if (node == -1).any() else []
+        while heap:
+            level, i = heapq.heappop(heap)
+            if level >= best[i]:
+                continue
+            best[i] = level
+            for j in range(first[i], first[i + 1]):
+                new = max(level, cost[j])
+                if new < best[to[j]]:
+                    heapq.heappush(heap, (new, int(to[j])))
+        return pd.DataFrame({"a": node, "level": best})
+
+    graph = wide.groupBy("tr", "tc").applyInPandas(links, "a long, b long, h double")
+    levels = written(graph.groupBy(F.lit(0).alias("_g")).applyInPandas(ways_out, "a long, level double"))
+    levels = levels.filter("a >= 0").select("level", (F.floor(F.shiftright("a", 32) / tile)).cast("int").alias("tr"), F.floor(F.col("a").bitwiseAND(F.lit(0xFFFFFFFF)) / tile).cast("int").alias("tc"), "a")
+
+    def raise_(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return pd.DataFrame({"r": [], "c": [], "v": []})
+        tr, tc, _, level, owner = local(left)
+        out = level
+        if len(right):
+            right = right.sort_values("a")
+            known, need = right["a"].to_numpy(), right["level"].to_numpy()
+            ids = names(np.maximum(owner, 0), tr, tc)
+            i = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+            out = np.where(owner >= 0, np.maximum(level, np.where(known[i] == ids, need[i], -np.inf)), np.nan)
+        own = left[(left["r"] // tile == tr) & (left["c"] // tile == tc)]
+        v = out[own["r"].to_numpy() - tr * tile, own["c"].to_numpy() - tc * tile]
+        return pd.DataFrame({"r": own["r"], "c": own["c"], "v": v})
+
+    filled = wide.groupBy("tr", "tc").cogroup(levels.groupBy("tr", "tc")).applyInPandas(raise_, "r int, c int, v double")
+    return filled.unionByName(g.filter("v is null").select("r", "c", "v"))
+
+
 def fill_sinks(z: np.ndarray, min_slope: float = 0.01) -> np.ndarray:
     """Planchon and Darboux: a high water surface lowered until it rests on cells or on its neighbours."""
     edge = np.zeros(z.shape, bool)
@@ -623,7 +772,7 @@ def ssa_2d(z: np.ndarray, rows: int = 5, cols: int = 5, keep: int = 3) -> np.nda
 
 def feature_smoothing(z: np.ndarray, radius: int = 2, rounds: int = 3, threshold: float = 15.0) -> np.ndarray:
     """Normals are smoothed where they agree within a threshold, then elevations follow them."""
-    gy, gx = np.gradient(np.where(np.isnan(z), np.nanmean(z), z))
+    gy, gx = (np.nan_to_num(g) for g in np.gradient(z)) if min(z.shape) > 1 else (np.zeros(z.shape),) * 2  # level beside gaps
     t = math.cos(math.radians(threshold))
     nx, ny, nz = -gx, -gy, np.ones(z.shape)
     sx, sy, sw = np.zeros(z.shape), np.zeros(z.shape), np.zeros(z.shape)
@@ -734,9 +883,9 @@ def solar(slope: np.ndarray, aspect: np.ndarray, day: int = 172, latitude: float
     return total
 
 
-def glcm(a: np.ndarray, radius: int = 3, levels: int = 32, feature: str = "contrast") -> np.ndarray:
+def glcm(a: np.ndarray, radius: int = 3, levels: int = 32, feature: str = "contrast", limits: tuple[float, float] | None = None) -> np.ndarray:
     """A texture feature of the symmetric co-occurrences of each window, in four directions at distance 1."""
-    lo, hi = np.nanmin(a), np.nanmax(a)
+    lo, hi = limits or (np.nanmin(a), np.nanmax(a))  # of the whole grid, where ``a`` is a tile of it
     q = np.minimum(((a - lo) / max(hi - lo, 1e-300) * levels), levels - 1)
     terms = {"contrast": lambda i, j: (i - j) ** 2, "dissimilarity": lambda i, j: abs(i - j), "homogeneity": lambda i, j: 1 / (1 + (i - j) ** 2)}
     q = np.floor(q)

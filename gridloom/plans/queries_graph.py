@@ -149,22 +149,44 @@ SL = f"sl AS (SELECT r, c, CASE WHEN full9 THEN {sf.slope().replace('gx', sf.hor
 register("landform_classification", lambda s, d: landform(g_qty(s, d)), with_("g", nine(), SL, LF, "k AS (SELECT (SELECT avg(t) FROM t3) ma, (SELECT stddev_pop(t) FROM t3) sa, (SELECT avg(t) FROM t10) mb, (SELECT stddev_pop(t) FROM t10) sb)", "q AS (SELECT r, c, (t3.t - ma) / sa sz, (t10.t - mb) / sb lz, s < 6 g FROM t3 JOIN t10 USING (r, c) JOIN sl USING (r, c), k WHERE t3.t IS NOT NULL AND t10.t IS NOT NULL AND s IS NOT NULL)") + f"SELECT r, c, CAST({CASES} AS INT) AS v FROM q")
 
 
-def grid_query(name: str, kernel, out: dict[str, str] | None = None) -> None:
-    """A kernel over the quantity grid; checked by tests on small arrays."""
-    register(name, lambda s, d: rounded(kn.run(g_qty(s, d), kernel, out or {"v": "double"})))
+KERNELS: dict[str, tuple] = {}
 
 
-grid_query("priority_flood", kn.priority_flood)
+def textures(grid: DataFrame, feature: str) -> DataFrame:
+    """A texture feature over tiles, with the levels of the whole grid."""
+    ends = grid.agg(F.min("v").alias("lo"), F.max("v").alias("hi")).first()  # one row
+    if ends["lo"] is None:
+        return grid.select("r", "c", F.lit(None).cast("double").alias("v"))
+    limits = (ends["lo"], ends["hi"])
+    return kn.run(grid, lambda z: kn.glcm(z, 2, 16, feature, limits), {"v": "double"}, halo=4)
+
+
+def grid_query(name: str, kernel, out: dict[str, str] | None = None, halo: int | None = None) -> None:
+    """A kernel over the quantity grid, in tiles where its reach is ``halo``; checked by tests on small arrays."""
+    KERNELS[name] = (kernel, out or {"v": "double"}, halo)
+    register(name, lambda s, d: rounded(kn.run(g_qty(s, d), kernel, out or {"v": "double"}, halo=halo)))
+
+
+register("priority_flood", lambda s, d: rounded(kn.flooded(g_qty(s, d))))
 grid_query("priority_flood_epsilon", lambda z: kn.priority_flood(z, 1e-3))
 grid_query("fill_sinks", kn.fill_sinks)
-grid_query("elev_above_pit", lambda z: kn.priority_flood(z) - z)
-grid_query("valley_depth", lambda z: kn.priority_flood(-z) + z)
+
+
+def above_fill(grid: DataFrame, sign: int) -> DataFrame:
+    """How far the filled surface of the grid (or of its mirror image, sign -1) stands above it."""
+    up = grid.select("r", "c", (F.col("v") * sign).alias("v"))
+    return kn.flooded(up).withColumnRenamed("v", "w").join(up, ["r", "c"]).select("r", "c", (F.col("w") - F.col("v")).alias("v"))
+
+
+register("elev_above_pit", lambda s, d: rounded(above_fill(g_qty(s, d), 1)))
+register("valley_depth", lambda s, d: rounded(above_fill(g_qty(s, d), -1)))
+
 grid_query("flow_direction", kn.d8, {"d": "int"})
 grid_query("resolve_flats", lambda z: kn.resolve_flats(z, kn.d8(z, False)), {"d": "int"})
 grid_query("flow_accumulation_mfd", kn.mfd)
 grid_query("flow_accumulation_mfd_adaptive", kn.mfd_adaptive)
 grid_query("flow_accumulation_tfga", lambda z: kn.dinf_accumulation(kn.dinf(kn.priority_flood(z, 1e-4))))
-grid_query("flow_direction_dinf", kn.dinf)
+grid_query("flow_direction_dinf", kn.dinf, halo=1)
 grid_query("flow_accumulation_dinf", lambda z: kn.dinf_accumulation(kn.dinf(z)))
 grid_query("flow_dinf", lambda z: {"angle": (a := kn.dinf(z)), "acc": kn.dinf_accumulation(a)}, {"angle": "double", "acc": "double"})
 grid_query("strahler_order", lambda z: kn.strahler(d := kn.d8(kn.priority_flood(z)), kn.d8_accumulation(d) >= 4))
@@ -177,40 +199,40 @@ grid_query("max_branch_length", kn.max_branch_length)
 grid_query("downslope_index", lambda z: kn.downslope_index(z, 200.0))
 grid_query("excess_topography", kn.excess_topography)
 register("cost_distance", lambda s, d: rounded(kn.run(g_qty(s, d), lambda z: kn.cost_distance(z, [(0, 0), (20, 20)]), {"v": "double"})))
-grid_query("horizon_angle_map", lambda z: np.degrees(np.arctan(kn.horizon(z, math.pi / 4, 8))))
-grid_query("horizon_angles", lambda z: {f"h{i}": np.arctan(h) for i, h in enumerate(kn.horizons(z, 8, 8))}, {f"h{i}": "double" for i in range(8)})
-grid_query("horizon_tan_map", lambda z: kn.horizon(z, math.pi / 4, 8))
-grid_query("sky_view_factor", kn.sky_view)
-grid_query("ambient_shade", lambda z: kn.sky_view(z, 8, 16))
-grid_query("positive_openness", kn.openness)
-grid_query("negative_openness", lambda z: kn.openness(z, positive=False))
-grid_query("wind_exposure", lambda z: kn.wind_exposure(z, 8))
+grid_query("horizon_angle_map", lambda z: np.degrees(np.arctan(kn.horizon(z, math.pi / 4, 8))), halo=8)
+grid_query("horizon_angles", lambda z: {f"h{i}": np.arctan(h) for i, h in enumerate(kn.horizons(z, 8, 8))}, {f"h{i}": "double" for i in range(8)}, halo=8)
+grid_query("horizon_tan_map", lambda z: kn.horizon(z, math.pi / 4, 8), halo=8)
+grid_query("sky_view_factor", kn.sky_view, halo=10)
+grid_query("ambient_shade", lambda z: kn.sky_view(z, 8, 16), halo=8)
+grid_query("positive_openness", kn.openness, halo=10)
+grid_query("negative_openness", lambda z: kn.openness(z, positive=False), halo=10)
+grid_query("wind_exposure", lambda z: kn.wind_exposure(z, 8), halo=8)
 grid_query("viewshed", lambda z: kn.viewshed(z, 16, 16), {"v": "int"})
 grid_query("viewshed_multiple", lambda z: kn.viewshed(z, 8, 8) + kn.viewshed(z, 24, 24), {"v": "int"})
-grid_query("geomorphons", kn.geomorphons, {"v": "int"})
-grid_query("directional_relief", kn.directional_relief)
-grid_query("relative_aspect", kn.relative_aspect)
-grid_query("iterative_mean_smoothing", kn.iterative_mean)
-grid_query("feature_preserving_smoothing", kn.feature_smoothing)
+grid_query("geomorphons", kn.geomorphons, {"v": "int"}, halo=10)
+grid_query("directional_relief", kn.directional_relief, halo=10)
+grid_query("relative_aspect", kn.relative_aspect, halo=10)
+grid_query("iterative_mean_smoothing", kn.iterative_mean, halo=3)
+grid_query("feature_preserving_smoothing", kn.feature_smoothing, halo=7)
 grid_query("fft_low_pass", kn.fft_low_pass)
 grid_query("ssa_2d", kn.ssa_2d)
-grid_query("msv", kn.multiscale_valleyness)
-grid_query("multiscale_curvatures", lambda z: kn.mean_curvature(kn.quadratic(z, 2)))
-grid_query("mrvbf", kn.mrvbf, {"mrvbf": "double", "mrrtf": "double"})
-grid_query("uncertainty", kn.uncertainty)
-grid_query("solar_radiation", lambda z: kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z))))
-grid_query("solar_radiation_annual", lambda z: sum(30.4 * kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z)), 15 + 30 * m, step=1.0) for m in range(12)))
+grid_query("msv", kn.multiscale_valleyness, halo=5)
+grid_query("multiscale_curvatures", lambda z: kn.mean_curvature(kn.quadratic(z, 2)), halo=2)
+grid_query("mrvbf", kn.mrvbf, {"mrvbf": "double", "mrrtf": "double"}, halo=24)
+grid_query("uncertainty", kn.uncertainty, halo=1)
+grid_query("solar_radiation", lambda z: kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z))), halo=1)
+grid_query("solar_radiation_annual", lambda z: sum(30.4 * kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z)), 15 + 30 * m, step=1.0) for m in range(12)), halo=1)
 for feature in ("contrast", "dissimilarity", "homogeneity", "energy", "entropy", "correlation"):
-    grid_query(f"glcm_{feature}", lambda z, f=feature: kn.glcm(z, 2, 16, f))
-grid_query("refined_lee_filter", kn.refined_lee)
+    register(f"glcm_{feature}", lambda s, d, f=feature: rounded(textures(g_qty(s, d), f)))
+grid_query("refined_lee_filter", kn.refined_lee, halo=3)
 grid_query("felzenszwalb", lambda z: kn.felzenszwalb(z, 300.0, 10), {"label": "int"})
 grid_query("slic", lambda z: kn.slic(z, 64), {"label": "int"})
 grid_query("detect_water", lambda z: kn.detect_water(z / 1000, 0.2, 3), {"v": "int"})
 grid_query("water_depth", lambda z: kn.chamfer(kn.detect_water(z / 1000, 0.2, 3) > 0))
-grid_query("cast_shadow_ray_mask", lambda z: kn.cast_shadow(z / 500, math.radians(315), math.radians(45), 8), {"v": "int"})
-grid_query("ray_shade", lambda z: np.mean([kn.cast_shadow(z / 500, math.radians(315), math.radians(a), 8) for a in (40, 45, 50)], 0))
-register("patch_density", lambda s, d: rounded(kn.run(g_class(s, d), lambda a: kn.patch_density(a, 2), {"v": "double"})))
-register("fill_gaps_neighbor_mean", lambda s, d: rounded(kn.run(g_qty(s, d).select("r", "c", F.when(F.col("v") > 1300, F.col("v")).alias("v")), kn.gap_fill, {"v": "double"})))
+grid_query("cast_shadow_ray_mask", lambda z: kn.cast_shadow(z / 500, math.radians(315), math.radians(45), 8), {"v": "int"}, halo=8)
+grid_query("ray_shade", lambda z: np.mean([kn.cast_shadow(z / 500, math.radians(315), math.radians(a), 8) for a in (40, 45, 50)], 0), halo=8)
+register("patch_density", lambda s, d: rounded(kn.run(g_class(s, d), lambda a: kn.patch_density(a, 2), {"v": "double"}, halo=2)))
+register("fill_gaps_neighbor_mean", lambda s, d: rounded(kn.run(g_qty(s, d).select("r", "c", F.when(F.col("v") > 1300, F.col("v")).alias("v")), kn.gap_fill, {"v": "double"}, halo=20)))
 
 
 def feather(tiles: DataFrame, scene: str = "scene") -> DataFrame:
@@ -220,7 +242,7 @@ def feather(tiles: DataFrame, scene: str = "scene") -> DataFrame:
 
 
 register("feather_mosaic", lambda s, d: rounded(feather(scenes(s, d).select("scene", "r", "c", "v"))))
-register("composite_scene_strips", lambda s, d: rounded(kn.run(scenes(s, d).groupBy("r", "c").agg(F.median("v").alias("v")), kn.gap_fill, {"v": "double"})))
+register("composite_scene_strips", lambda s, d: rounded(kn.run(scenes(s, d).groupBy("r", "c").agg(F.median("v").alias("v")), kn.gap_fill, {"v": "double"}, halo=20)))
 HYPSO = "(g.v - lo) / (hi - lo)"
 SHADE = sf.hillshade(normalized=True).replace("gx", sf.horn()[0]).replace("gy", sf.horn()[1])
 register(

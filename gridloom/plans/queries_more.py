@@ -76,13 +76,13 @@ grid_query("viewshed_xdraw", lambda z: kn.viewshed(z, 16, 16, 100.0), {"v": "int
 grid_query("viewshed_pderl", lambda z: kn.viewshed(z, 10, 20, 100.0), {"v": "int"})
 grid_query("viewshed_probabilistic", visible_share)
 grid_query("observer_optimization", lambda z: best_observers(z, [(r, c) for r in (4, 16, 28) for c in (4, 16, 28)]), {"v": "int"})
-grid_query("horizon_angles_fast", lambda z: {f"h{i}": np.arctan(h) for i, h in enumerate(kn.horizons(z, 12, 4))}, {f"h{i}": "double" for i in range(4)})
-grid_query("horizon_angle_map_fast", lambda z: np.arctan(kn.horizon(z, math.pi / 2, 12)))
-grid_query("sky_view_factor_fast", lambda z: kn.sky_view(z, 10, 16))
+grid_query("horizon_angles_fast", lambda z: {f"h{i}": np.arctan(h) for i, h in enumerate(kn.horizons(z, 12, 4))}, {f"h{i}": "double" for i in range(4)}, halo=12)
+grid_query("horizon_angle_map_fast", lambda z: np.arctan(kn.horizon(z, math.pi / 2, 12)), halo=12)
+grid_query("sky_view_factor_fast", lambda z: kn.sky_view(z, 10, 16), halo=10)
 grid_query("lineament_detection", lineaments, {"v": "int"})
-grid_query("chebyshev_derivatives", chebyshev, {"p": "double", "q": "double"})
-grid_query("solar_radiation_shadowed", shadowed)
-grid_query("solar_radiation_annual_only", lambda z: sum(30.4 * kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z)), 15 + 30 * m, step=2.0) for m in range(12)))
+grid_query("chebyshev_derivatives", chebyshev, {"p": "double", "q": "double"}, halo=2)
+grid_query("solar_radiation_shadowed", shadowed, halo=6)
+grid_query("solar_radiation_annual_only", lambda z: sum(30.4 * kn.solar(np.arctan(np.hypot(*kn.horn(z, 100.0))), np.nan_to_num(kn.aspect_radians(z)), 15 + 30 * m, step=2.0) for m in range(12)), halo=1)
 
 
 def rea(grid: DataFrame, factors: tuple[int, ...] = (2, 4)) -> DataFrame:

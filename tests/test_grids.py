@@ -208,3 +208,49 @@ def test_spline_query_takes_all_points(spark):
     want = {(x.r, x.c): x.v for x in pt.thin_plate(q.cells(spark), whole, 1e-3).collect()}
     got = {(x.r, x.c): x.v for x in QUERIES["tps_interpolation"](spark, d).collect()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
+
+
+def terrain(n=40, m=37, seed=5, gaps=True):
+    rng = np.random.default_rng(seed)
+    z = rng.normal(0, 30, (n, m)) + 40 * np.sin(np.arange(n) / 6)[:, None] + 2 * np.arange(m)
+    if gaps:
+        z[11, 9], z[20:23, 30] = np.nan, np.nan
+    return np.round(z, 3)
+
+
+def test_tiles_with_halo_are_the_whole_grid(spark):
+    from gridloom.plans import queries_more  # noqa: F401  it adds to the kernels
+    from gridloom.plans.queries_graph import KERNELS
+
+    z = terrain()
+    df = grid(spark, z).cache()
+    seen = 0
+    for name, (kernel, out, halo) in sorted(KERNELS.items()):
+        if halo is None:
+            continue
+        seen += 1
+        whole = kernel(z)
+        whole = whole if isinstance(whole, dict) else {next(iter(out)): whole}
+        got = kn.run(df, kernel, out, halo=halo, tile=13).toPandas()
+        assert len(got) == z.size, name
+        for k, t in out.items():
+            want = np.asarray(whole[k], float)[got["r"], got["c"]]
+            want = np.nan_to_num(want).astype(int) if t == "int" else np.where(np.isfinite(want), want, np.nan)
+            np.testing.assert_allclose(got[k].to_numpy(float), want, atol=1e-8, err_msg=name)
+    assert seen > 25
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_tiled_flood_is_the_whole_flood(spark, gaps):
+    z = terrain(41, 50, 8, gaps)
+    for tile in (7, 16, 64):
+        np.testing.assert_array_equal(array(kn.flooded(grid(spark, z), tile), z.shape), kn.priority_flood(z))
+    assert kn.flooded(grid(spark, z).limit(0), 8).count() == 0
+
+
+def test_textures_over_tiles(spark):
+    z = terrain(30, 30, 2, False)
+    limits = (z.min(), z.max())
+    for feature in ("contrast", "entropy", "correlation"):
+        got = kn.run(grid(spark, z), lambda a, f=feature: kn.glcm(a, 2, 16, f, limits), {"v": "double"}, halo=4, tile=11)
+        np.testing.assert_allclose(array(got, z.shape), kn.glcm(z, 2, 16, feature), atol=1e-9)
