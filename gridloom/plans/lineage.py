@@ -11,14 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 _OWN: tempfile.TemporaryDirectory | None = None
 
 
-def written(df: DataFrame) -> DataFrame:
+def shared_root(spark: SparkSession) -> str:
+    """The cluster's shared folder; a folder of this machine only where none is named and the master is local, as in tests."""
     global _OWN
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:  # only where none is named, as in tests
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         _OWN = _OWN or tempfile.TemporaryDirectory(prefix="gridloom-")
         root = _OWN.name
-    path = f"{root.rstrip('/')}/grid-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/grid-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

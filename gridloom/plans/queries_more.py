@@ -154,27 +154,6 @@ def tiled(grid: DataFrame, size: int = 8) -> DataFrame:
 
 
 register("run_tiled", lambda s, d: rounded(tiled(g_qty(s, d))), with_("g") + f"SELECT r, c, {r6('tanh((v - 1500) / 500)')} AS v FROM g")
-BOX = lambda i: f"(VALUES (1, {i}, 0, {i + 5}, 6), (2, {i + 8}, 2, {i + 12}, 9))"
-
-
-def overlay(spark, kind: str) -> DataFrame:
-    """Areas of two layers of boxes: intersections by an overlap join, the rest by inclusion and exclusion."""
-    a = spark.createDataFrame([(1, 0, 0, 5, 6), (2, 8, 2, 12, 9)], "i int, x0 int, y0 int, x1 int, y1 int")
-    b = spark.createDataFrame([(1, 3, 0, 8, 6), (2, 11, 2, 15, 9)], "j int, u0 int, v0 int, u1 int, v1 int")
-    w, h = F.least("x1", "u1") - F.greatest("x0", "u0"), F.least("y1", "v1") - F.greatest("y0", "v0")
-    both = a.join(F.broadcast(b), F.expr("x0 < u1 AND u0 < x1 AND y0 < v1 AND v0 < y1")).select("i", "j", (w * h).cast("double").alias("area"))
-    if kind == "intersection":
-        return both
-    t = both.agg(F.sum("area").alias("x")).crossJoin(a.agg(F.sum(F.expr("(x1 - x0) * (y1 - y0)")).alias("a"))).crossJoin(b.agg(F.sum(F.expr("(u1 - u0) * (v1 - v0)")).alias("b")))
-    return t.select(F.expr({"union": "a + b - x", "difference": "a - x", "symmetric_difference": "a + b - 2 * x"}[kind]).cast("double").alias("area"))
-
-
-OV = f"WITH a AS (SELECT * FROM {BOX(0)} t(i, x0, y0, x1, y1)), b AS (SELECT * FROM {BOX(3)} t(j, u0, v0, u1, v1)), x AS (SELECT i, j, CAST((least(x1, u1) - greatest(x0, u0)) * (least(y1, v1) - greatest(y0, v0)) AS DOUBLE) area FROM a JOIN b ON x0 < u1 AND u0 < x1 AND y0 < v1 AND v0 < y1), s AS (SELECT (SELECT sum(area) FROM x) x, (SELECT sum((x1 - x0) * (y1 - y0)) FROM a) a, (SELECT sum((u1 - u0) * (v1 - v0)) FROM b) b) "
-register("overlay_intersection", lambda s, d: overlay(s, "intersection"), OV + "SELECT i, j, area FROM x")
-for kind, text in (("union", "a + b - x"), ("difference", "a - x"), ("symmetric_difference", "a + b - 2 * x")):
-    register(f"overlay_{kind}", lambda s, d, k=kind: overlay(s, k), OV + f"SELECT CAST({text} AS DOUBLE) AS area FROM s")
-
-
 def forest(s, d, trees: int = 10) -> DataFrame:
     """A random forest of the block of a cell from its bands, trained on two thirds of the cells."""
     from pyspark.ml.classification import RandomForestClassifier

@@ -93,19 +93,6 @@ def bilinear(s, d):
 
 
 register("resample_bilinear", lambda s, d: rounded(bilinear(s, d), "v"), with_("g", "t AS (SELECT CAST(i // 20 AS INT) r, CAST(i % 20 AS INT) c, (i // 20 + 0.5E0) * 1.6E0 - 0.5E0 y, (i % 20 + 0.5E0) * 1.6E0 - 0.5E0 x FROM range(400) q(i))") + f"SELECT t.r, t.c, {r6('sum(g.v * (1 - abs(t.y - g.r)) * (1 - abs(t.x - g.c)))')} AS v FROM t JOIN g ON g.r BETWEEN CAST(floor(t.y) AS INT) AND CAST(floor(t.y) AS INT) + 1 AND g.c BETWEEN CAST(floor(t.x) AS INT) AND CAST(floor(t.x) AS INT) + 1 GROUP BY t.r, t.c HAVING count(g.v) = 4")
-BOXES = [(1, 2, 2, 9, 12), (2, 8, 5, 20, 18), (3, 25, 25, 31, 31)]
-
-
-def rasterize(s, d):
-    """The last box (in order) that holds a cell's centre gives its number."""
-    b = F.broadcast(s.createDataFrame(BOXES, "k int, x0 int, y0 int, x1 int, y1 int"))
-    j = g_qty(s, d).select("r", "c").join(b, F.expr("c + 0.5D > x0 AND c + 0.5D < x1 AND r + 0.5D > y0 AND r + 0.5D < y1"))
-    return j.groupBy("r", "c").agg(F.max("k").alias("v"))
-
-
-BX = "bx AS (SELECT * FROM (VALUES " + ", ".join(map(str, BOXES)) + ") t(k, x0, y0, x1, y1))"
-register("rasterize_polygons", rasterize, with_("g", BX) + "SELECT r, c, max(k) AS v FROM g JOIN bx ON c + 0.5E0 > x0 AND c + 0.5E0 < x1 AND r + 0.5E0 > y0 AND r + 0.5E0 < y1 GROUP BY r, c")
-register("clip_raster", lambda s, d: g_qty(s, d).join(rasterize(s, d).select("r", "c"), ["r", "c"], "left_semi"), with_("g", BX) + "SELECT r, c, v FROM g WHERE EXISTS (SELECT 1 FROM bx WHERE c + 0.5E0 > x0 AND c + 0.5E0 < x1 AND r + 0.5E0 > y0 AND r + 0.5E0 < y1)")
 register("build_overview", lambda s, d: rounded(g_qty(s, d).groupBy(F.floor(F.col("r") / 2).cast("int").alias("r"), F.floor(F.col("c") / 2).cast("int").alias("c")).agg(F.avg("v").alias("v")), "v"), with_("g") + f"SELECT CAST(floor(r / 2.0) AS INT) AS r, CAST(floor(c / 2.0) AS INT) AS c, {r6('avg(v)')} AS v FROM g GROUP BY 1, 2")
 register("tiles_for_bbox", lambda s, d: g_qty(s, d).filter("r BETWEEN 5 AND 20 AND c BETWEEN 10 AND 17").selectExpr("CAST(floor(r / 8) AS INT) AS tr", "CAST(floor(c / 8) AS INT) AS tc").distinct(), with_("g") + "SELECT DISTINCT CAST(floor(r / 8.0) AS INT) AS tr, CAST(floor(c / 8.0) AS INT) AS tc FROM g WHERE r BETWEEN 5 AND 20 AND c BETWEEN 10 AND 17")
 
@@ -140,10 +127,6 @@ register("area", lambda s, d: rounded(RING(points(s, d), 6).select("id", pt.ring
 register("length", lambda s, d: rounded(RING(points(s, d), 6).select("id", pt.line_length(F.col("ring")).alias("v")), "v"), with_("pts") + "SELECT id, 2.5E0 AS v FROM pts")
 register("centroid", lambda s, d: rounded(RING(points(s, d)).select("id", pt.ring_centroid(F.col("ring"))[0].alias("cx"), pt.ring_centroid(F.col("ring"))[1].alias("cy")), "cx", "cy"), with_("pts") + f"SELECT id, {r6('x')} AS cx, {r6('y')} AS cy FROM pts")
 register("bounding_box", lambda s, d: rounded(RING(points(s, d), 4).select("id", pt.bounding_box(F.col("ring")).alias("b")).select("id", "b.x0", "b.y0", "b.x1", "b.y1")), with_("pts") + f"SELECT id, {r6('x - 0.5E0')} AS x0, {r6('y - 0.5E0')} AS y0, {r6('x + 0.5E0')} AS x1, {r6('y + 0.5E0')} AS y1 FROM pts")
-register("convex_hull", lambda s, d: rounded(RING(points(s, d)).select("id", F.size(pt.ring_udf(pt.convex_hull)("ring")).alias("n"))), with_("pts") + "SELECT id, 16 AS n FROM pts")
-register("simplify_dp", lambda s, d: RING(points(s, d)).select("id", (F.size(pt.ring_udf(pt.simplify, 0.05)("ring")) < 16).alias("less")), with_("pts") + "SELECT id, true AS less FROM pts")
-register("clip_by_rect", lambda s, d: rounded(RING(points(s, d), 4).withColumn("ring", pt.ring_udf(pt.clip_ring, -10.0, -10.0, 10.0, 10.0)("ring")).select("id", pt.ring_area(F.col("ring")).alias("v")), "v"), with_("pts") + "SELECT id, 0.5E0 AS v FROM pts")
-register("dissolve", lambda s, d: table(s, d, "embeddings").groupBy("label").agg(F.count("*").alias("n")), "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 
 # interval and string helpers of the front ends, over tables
 register("stac_time_series", lambda s, d: table(s, d, "events").groupBy(F.to_date(F.date_trunc("week", "ts")).cast("string").alias("week"), "event_type").agg(F.count("*").alias("n")), "SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")

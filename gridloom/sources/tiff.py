@@ -380,6 +380,9 @@ def overview_for_resolution(widths: Sequence[int], cell: float, wanted: float) -
 META = "path string, width int, height int, bands int, dtype string, x0 double, y0 double, dx double, dy double, epsg int, nodata double, images int, widths array<int>"
 
 
+ARROW = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -395,7 +398,8 @@ def describe(found: DataFrame) -> DataFrame:
                 all_ = pages(data)
                 p = all_[0]
                 rows.append((path, p.shape[1], p.shape[0], p.bands, p.dtype.newbyteorder("=").name, *map(float, p.transform), p.epsg, p.nodata, len(all_), [x.shape[1] for x in all_]))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=[x.split()[0] for x in META.split(", ")]).astype({"epsg": "Int32"}), preserve_index=False)
+            fields = [x.split() for x in META.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], ARROW[t]) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
 
     return found.mapInArrow(run, META)
 
@@ -424,7 +428,7 @@ def cells(found: DataFrame, bands: Sequence[int] = (1,), level: int = 0, window:
                 for r, c, band, at, size in page.blocks(window):
                     if band < 0 or band + 1 in bands:
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([x]) for x in (path, head, r, c, band, data[at : at + size])], names=["path", "head", "r0", "c0", "band", "raw"]
+                            [pa.array([x], ARROW[t]) for x, t in zip((path, head, r, c, band, data[at : at + size]), ("string", "binary", "int", "int", "int", "binary"))], names=["path", "head", "r0", "c0", "band", "raw"]
                         )
 
     names = [f"b{k}" for k in bands]
