@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.formula import to_sql
 from gridloom.functions.spectral import two_sided_p
 from gridloom.operators.focal import moments
+from gridloom.plans.lineage import written
 
 
 def band_formula(bands: DataFrame, formula: str, names: list[str]) -> DataFrame:
@@ -34,27 +35,40 @@ def with_global(df: DataFrame, **aggregates: Column) -> DataFrame:
     return df.crossJoin(F.broadcast(df.agg(*[a.alias(n) for n, a in aggregates.items()])))
 
 
-def ranked(df: DataFrame, value: str = "v", bins: int = 64) -> DataFrame:
-    """Adds ``below``, the number of smaller values, and ``nth``, a row number by value from 1.
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table marked for broadcast after its rows were counted; more than ``most`` of them are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return F.broadcast(df)
 
-    Values are cut at quantiles; ranks are taken within a bin and moved by the
-    sizes of the bins before it. Null values are dropped.
+
+def _bin(df: DataFrame, value: str, bins: int) -> Column:
+    """The number of ``bins`` - 1 quantiles below a value."""
+    q = df.select(F.col(value).cast("double").alias("q"))
+    cuts = sorted(set(q.approxQuantile("q", [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
+    return (F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)).cast("int")
+
+
+def value_ranks(df: DataFrame, value: str = "v", bins: int = 64) -> DataFrame:
+    """One row a distinct value that is not null: ``n``, its rows, and ``below``, the rows of smaller values.
+
+    Rows are counted by value first, so a value that most rows hold is one row. Values are cut at quantiles;
+    counts are summed up within a bin and moved by the sizes of the bins before it.
     """
-    df = df.filter(F.col(value).isNotNull())
-    cuts = sorted(set(df.approxQuantile(value, [i / bins for i in range(1, bins)], 0.001))) if bins > 1 else []
-    bin_of = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-    df = df.withColumn("_bin", bin_of.cast("int"))
-    before = df.groupBy("_bin").agg(F.count("*").alias("_n"))
-    before = before.withColumn("_at", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_bin").orderBy(value)
-    out = df.withColumns({"_r": F.rank().over(w) - 1, "_k": F.row_number().over(w)}).join(F.broadcast(before), "_bin")
-    return out.withColumns({"below": F.col("_r") + F.col("_at"), "nth": F.col("_k") + F.col("_at")}).drop("_bin", "_n", "_at", "_r", "_k")
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")))
+    counts = counts.withColumn("_bin", _bin(counts, value, bins))
+    before = counts.groupBy("_bin").agg(F.sum("n").alias("_n"))
+    before = before.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
+    ahead = Window.partitionBy("_bin").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    out = counts.withColumn("_k", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(F.broadcast(before), "_bin")  # one row a bin
+    return out.select(value, "n", (F.col("_k") + F.col("_at")).alias("below"))
 
 
 def nearest_rank(df: DataFrame, q: float, value: str = "v") -> DataFrame:
     """One row ``x``: the value at index round((n - 1) * q) of the sorted values."""
-    r = with_global(ranked(df, value), _n=F.count("*"))
-    return r.filter(F.col("nth") == F.floor((F.col("_n") - 1) * F.lit(q) + 0.5) + 1).select(F.col(value).alias("x"))
+    r = with_global(value_ranks(df, value), _n=F.sum("n"))
+    at = F.floor((F.col("_n") - 1) * F.lit(q) + 0.5)
+    return r.filter((F.col("below") <= at) & (at < F.col("below") + F.col("n"))).select(F.col(value).alias("x"))
 
 
 def dos1(grid: DataFrame, q: float = 0.001) -> DataFrame:
@@ -64,9 +78,9 @@ def dos1(grid: DataFrame, q: float = 0.001) -> DataFrame:
 
 def histogram_match(source: DataFrame, reference: DataFrame) -> DataFrame:
     """Source values moved to the reference's distribution: rank, then linear between neighbours."""
-    ref = ranked(reference).select("nth", F.col("v").alias("x"))
+    ref = value_ranks(reference).select(F.explode(F.sequence(F.col("below") + 1, F.col("below") + F.col("n"))).alias("nth"), F.col("v").alias("x"))
     n_ref = reference.agg(F.count("v").alias("m"))
-    src = with_global(ranked(source), _n=F.count("*")).crossJoin(F.broadcast(n_ref))
+    src = with_global(source.select("r", "c", "v").join(value_ranks(source).select("v", "below"), "v"), _n=F.count("*")).crossJoin(F.broadcast(n_ref))
     pos = F.col("below") / F.greatest(F.col("_n") - 1, F.lit(1)) * (F.col("m") - 1)
     src = src.select("r", "c", pos.alias("pos"), "m").withColumn("lo", F.floor("pos"))
     src = src.withColumn("hi", F.least(F.col("lo") + 1, F.col("m") - 1))
@@ -91,12 +105,29 @@ def zonal(cells: DataFrame) -> DataFrame:
     cells = cells.filter("zone <> 0 AND v IS NOT NULL")
     base = cells.groupBy("zone").agg(
         F.count("*").alias("count"), F.sum("v").alias("sum"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std_dev"),
-        F.min("v").alias("min"), F.max("v").alias("max"), (F.max("v") - F.min("v")).alias("range"), F.median("v").alias("median"),
-        F.countDistinct("v").alias("variety"),
+        F.min("v").alias("min"), F.max("v").alias("max"), (F.max("v") - F.min("v")).alias("range"),
+    )
+    uses = written(cells.groupBy("zone", "v").agg(F.count("*").alias("k")))
+    modes = uses.groupBy("zone").agg(
+        F.min(F.struct((-F.col("k")).alias("k"), "v"))["v"].alias("majority"), F.min(F.struct("k", "v"))["v"].alias("minority"), F.count("*").alias("variety")
     )
-    uses = cells.groupBy("zone", "v").agg(F.count("*").alias("k"))
-    modes = uses.groupBy("zone").agg(F.min(F.struct((-F.col("k")).alias("k"), "v"))["v"].alias("majority"), F.min(F.struct("k", "v"))["v"].alias("minority"))
-    return base.join(modes, "zone")
+    return base.join(modes, "zone").join(zone_medians(uses), "zone").select("zone", "count", "sum", "mean", "std_dev", "min", "max", "range", "median", "variety", "majority", "minority")
+
+
+def zone_medians(uses: DataFrame, bins: int = 64) -> DataFrame:
+    """(zone, median) from (zone, v, k): only the values of the bins that hold a zone's middle meet in a task."""
+    uses = uses.withColumn("b", _bin(uses, "v", bins))
+    sizes = uses.groupBy("zone", "b").agg(F.sum("k").alias("n"))
+    up = Window.partitionBy("zone").orderBy("b")  # at most ``bins`` rows a zone
+    sizes = sizes.withColumns({"to": F.sum("n").over(up), "all": F.sum("n").over(Window.partitionBy("zone"))})
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor((F.col("all") + 2) / 2)
+    sizes = sizes.select("zone", "b", (F.col("to") - F.col("n")).alias("at"), "to", low.alias("low"), high.alias("high"))
+    holds = sizes.filter("(at < low and low <= to) or (at < high and high <= to)").drop("to")
+    rows = uses.join(holds, ["zone", "b"])
+    w = Window.partitionBy("zone", "b").orderBy("v")
+    rows = rows.withColumn("to", F.col("at") + F.sum("k").over(w)).withColumn("from", F.col("to") - F.col("k"))
+    at = lambda n: F.max(F.when(F.col("from").__lt__(F.col(n)) & (F.col(n) <= F.col("to")), F.col("v")))
+    return rows.groupBy("zone").agg(((at("low") + at("high")) / 2).alias("median"))
 
 
 def zonal_raster(cells: DataFrame, stat: str = "mean") -> DataFrame:
@@ -141,15 +172,15 @@ def signatures(cells: DataFrame) -> DataFrame:
 
 
 def minimum_distance(grid: DataFrame, classes: DataFrame) -> DataFrame:
-    """The label of the nearest mean; the first label on ties. ``classes`` are few and are broadcast."""
-    table = F.broadcast(classes.agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("a")))
+    """The label of the nearest mean; the first label on ties. ``classes`` are counted and broadcast."""
+    table = F.broadcast(few(classes).agg(F.sort_array(F.collect_list(F.struct("label", "mean"))).alias("a")))
     best = F.expr("array_min(transform(a, x -> named_struct('d', abs(v - x.mean), 'l', x.label))).l")
     return grid.crossJoin(table).select("r", "c", F.when(F.col("v").isNotNull(), best).alias("v"))
 
 
 def maximum_likelihood(grid: DataFrame, classes: DataFrame) -> DataFrame:
     """The label of the largest Gaussian log-likelihood; the first label on ties."""
-    table = F.broadcast(classes.agg(F.sort_array(F.collect_list(F.struct("label", "mean", "std_dev"))).alias("a")))
+    table = F.broadcast(few(classes).agg(F.sort_array(F.collect_list(F.struct("label", "mean", "std_dev"))).alias("a")))
     best = F.expr("array_min(transform(a, x -> named_struct('d', ln(x.std_dev) + (v - x.mean) * (v - x.mean) / (2 * x.std_dev * x.std_dev), 'l', x.label))).l")
     return grid.crossJoin(table).select("r", "c", F.when(F.col("v").isNotNull(), best).alias("v"))
 
@@ -161,12 +192,15 @@ def _nearest(centres: list[float]) -> Column:
 
 def kmeans(grid: DataFrame, k: int = 5, iterations: int = 100, convergence: float = 1e-3) -> DataFrame:
     """One-dimensional k-means from evenly spaced sorted values; labels from 1. Only k centres are on the driver."""
-    n = grid.filter("v IS NOT NULL").count()
-    at = [min(i * n // k + n // (2 * k), n - 1) + 1 for i in range(k)]
-    got = {r["nth"]: r["v"] for r in ranked(grid).filter(F.col("nth").isin(at)).select("nth", "v").collect()}
-    centres = [float(got[a]) for a in at]
+    values = written(value_ranks(grid))  # distinct values and their rows: all that the passes read
+    n = values.agg(F.sum("n")).first()[0]
+    at = [min(i * n // k + n // (2 * k), n - 1) for i in range(k)]
+    seeds = values.filter(F.exists(F.array(*[F.lit(a) for a in at]), lambda a: (F.col("below") <= a) & (a < F.col("below") + F.col("n"))))
+    got = [(r["below"], r["n"], r["v"]) for r in seeds.collect()]  # k rows at most
+    centres = [float(next(v for below, m, v in got if below <= a < below + m)) for a in at]
+    mean = F.sum(F.col("v") * F.col("n")) / F.sum("n")
     for _ in range(iterations):
-        means = {r["i"]: r["m"] for r in grid.filter("v IS NOT NULL").groupBy(_nearest(centres).alias("i")).agg(F.avg("v").alias("m")).collect()}
+        means = {r["i"]: r["m"] for r in values.groupBy(_nearest(centres).alias("i")).agg(mean.alias("m")).collect()}
         new = [float(means.get(i, c)) for i, c in enumerate(centres, 1)]
         moved = max(abs(a - b) for a, b in zip(new, centres))
         centres = new
@@ -180,11 +214,13 @@ def isodata(
     max_std: float = 10.0, min_merge: float = 5.0, convergence: float = 1e-3,
 ) -> DataFrame:
     """ISODATA in one dimension: assign, drop small, split wide, merge near, until centres rest."""
-    cells = grid.filter("v IS NOT NULL")
-    lo, hi = cells.agg(F.min("v"), F.max("v")).first()
+    values = written(grid.filter("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n")))  # all that the passes read
+    lo, hi = values.agg(F.min("v"), F.max("v")).first()
+    total, square = F.sum(F.col("v") * F.col("n")), F.sum((F.col("v") - lo) ** 2 * F.col("n"))
     centres = [lo + (hi - lo) * (i + 0.5) / k for i in range(k)]
     for _ in range(iterations):
-        rows = cells.groupBy(_nearest(centres).alias("i")).agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.count("*").alias("n")).collect()
+        rows = values.groupBy(_nearest(centres).alias("i")).agg((total / F.sum("n")).alias("m"), (square / F.sum("n")).alias("q"), F.sum("n").alias("n"))
+        rows = rows.select("m", F.sqrt(F.greatest(F.col("q") - (F.col("m") - lo) ** 2, F.lit(0.0))).alias("s"), "n").collect()  # one a centre
         stats = sorted((r["m"], r["s"], r["n"]) for r in rows)
         big = [x for x in stats if x[2] >= min_samples]
         stats = big if len(big) >= least else stats
@@ -262,10 +298,15 @@ def pca_pansharpen(df: DataFrame, pan: str, names: list[str]) -> DataFrame:
     return t.select("r", "c", *[(F.col(n) + (new - F.col("_c")) * float(x)).alias(n) for n, x in zip(names, first)])
 
 
-def mad(df: DataFrame, before: list[str], after: list[str], weight: str | None = None) -> tuple[DataFrame, np.ndarray]:
+def mad(df: DataFrame, before: list[str], after: list[str]) -> tuple[DataFrame, np.ndarray]:
     """Multivariate alteration detection: (r, c, mad1, ...) and canonical correlations, least change last."""
+    variates, rho = _variates(df, before, after, F.lit(1.0))
+    return df.select("r", "c", *[c for c in df.columns if c not in ("r", "c")], *variates), rho
+
+
+def _variates(df: DataFrame, before: list[str], after: list[str], w: Column) -> tuple[list[Column], np.ndarray]:
+    """The variates as expressions of the bands, from one pass of weighted moments; and the correlations."""
     names, b = before + after, len(before)
-    w = F.col(weight) if weight else F.lit(1.0)
     full = df.dropna(subset=names)
     pairs = [(i, j) for i in range(2 * b) for j in range(i, 2 * b)]
     row = full.agg(F.sum(w), *[F.sum(w * F.col(n)) for n in names], *[F.sum(w * F.col(names[i]) * F.col(names[j])) for i, j in pairs]).first()
@@ -282,26 +323,21 @@ def mad(df: DataFrame, before: list[str], after: list[str], weight: str | None =
     v = np.linalg.solve(s22, s12.T @ a)
     v = v / np.sqrt(np.maximum((v * (s22 @ v)).sum(0), 1e-300))
     side = lambda ns, m, x: sum((F.col(n) - float(c)) * float(y) for n, c, y in zip(ns, m, x))
-    out = [(side(before, mean[:b], a[:, k]) - side(after, mean[b:], v[:, k])).alias(f"mad{k + 1}") for k in range(b)]
-    return df.select("r", "c", *[c for c in df.columns if c not in ("r", "c")], *out), rho
+    return [(side(before, mean[:b], a[:, k]) - side(after, mean[b:], v[:, k])).alias(f"mad{k + 1}") for k in range(b)], rho
 
 
 def ir_mad(df: DataFrame, before: list[str], after: list[str], iterations: int = 25, tol: float = 1e-3) -> tuple[DataFrame, np.ndarray]:
     """Reweighted MAD: cells weigh by the chi-square chance of no change, until the correlations rest."""
-    b, weight, last = len(before), None, None
-    own = list(df.columns)
+    b, last, weight = len(before), None, F.lit(1.0)
+    df = written(df)
     for _ in range(iterations):
-        out, rho = mad(df if weight is None else df.withColumn("_w", weight), before, after, "_w" if weight is not None else None)
+        variates, rho = _variates(df, before, after, weight)
         if last is not None and np.abs(rho - last).max() < tol:
             break
         last = rho
-        z = sum((F.col(f"mad{k + 1}") * F.col(f"mad{k + 1}") / float(max(2 * (1 - rho[k]), 1e-12)) for k in range(b)), F.lit(0.0))
-        df = out.select(*own, chi_square_tail(z, b).alias("_next"))
-        weight = F.col("_next")
-        df = df.withColumn("_keep", weight).drop("_next").withColumnRenamed("_keep", "_next")
-        own_next = own + ["_next"]
-        df = df.select(*own_next)
-    return out, rho
+        z = sum((v * v / float(max(2 * (1 - rho[k]), 1e-12)) for k, v in enumerate(variates)), F.lit(0.0))
+        weight = chi_square_tail(z, b)  # of the bands themselves, so rounds do not nest
+    return df.select("r", "c", *[c for c in df.columns if c not in ("r", "c")], *variates), rho
 
 
 def chi_square_tail(x: Column, k: int) -> Column:

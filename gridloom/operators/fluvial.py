@@ -54,10 +54,22 @@ def concavity(s: DataFrame, thetas: list[float], cs: float = 30.0) -> DataFrame:
 
 
 def energy_cone(dem: DataFrame, sources: DataFrame, degrees: float = 11.0, collapse: float = 50.0, cs: float = 1.0) -> DataFrame:
-    """Height of the highest cone over each cell, 0 where none reaches; ``sources`` (r, c) are few and broadcast."""
+    """Height of the highest cone over each cell, 0 where none reaches; ``sources`` are rows (r, c).
+
+    A cone cannot stand over any cell farther than its top is above the lowest ground, so cells meet
+    the sources of their own and the eight neighbouring squares of that reach, by an equi-join.
+    """
+    t = math.tan(math.radians(degrees))
     z = dem.select(F.col("r").alias("sr"), F.col("c").alias("sc"), F.col("v").alias("sz"))
-    s = F.broadcast(sources.select(F.col("r").alias("sr"), F.col("c").alias("sc")).join(z, ["sr", "sc"]))
+    s = sources.select(F.col("r").alias("sr"), F.col("c").alias("sc")).distinct().join(z, ["sr", "sc"]).filter("sz IS NOT NULL")
+    top = s.agg(F.max("sz").alias("top")).crossJoin(dem.agg(F.min("v").alias("low"))).first()  # one row
+    if top["top"] is None:
+        return dem.select("r", "c", F.when(F.col("v").isNotNull(), F.lit(0.0)).alias("v"))
+    reach = max(1, math.ceil((top["top"] + collapse - top["low"]) / t / cs) + 1)
+    bin_of = lambda c: F.floor(F.col(c) / reach).cast("int")
+    near = lambda c: F.explode(F.sequence(bin_of(c) - 1, bin_of(c) + 1))
+    s = s.withColumn("br", near("sr")).withColumn("bc", near("sc"))
     far = F.sqrt((F.col("r") - F.col("sr")) ** 2 + (F.col("c") - F.col("sc")) ** 2) * cs
-    top = F.max(F.col("sz") + collapse - math.tan(math.radians(degrees)) * far)
-    t = dem.crossJoin(s).groupBy("r", "c", "v").agg(top.alias("top"))
-    return t.select("r", "c", F.when(F.col("v").isNotNull(), F.greatest(F.col("top") - F.col("v"), F.lit(0.0))).alias("v"))
+    high = F.max(F.col("sz") + collapse - t * far)
+    cells = dem.withColumns({"br": bin_of("r"), "bc": bin_of("c")}).join(s, ["br", "bc"], "left").groupBy("r", "c", "v").agg(high.alias("top"))
+    return cells.select("r", "c", F.when(F.col("v").isNotNull(), F.greatest(F.col("top") - F.col("v"), F.lit(0.0))).alias("v"))

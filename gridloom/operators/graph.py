@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.cells import ranked
+from gridloom.operators.cells import value_ranks
 from gridloom.plans.lineage import written
 
 #: Row and column steps of D8 codes 1 to 8, counter-clockwise from east (fixed values).
@@ -97,8 +97,8 @@ def flow_path_length(d8: DataFrame, cs: float = 1.0) -> DataFrame:
 def watershed(d8: DataFrame) -> DataFrame:
     """(r, c, basin): outlets are numbered from 1 in row-major order."""
     t = written(roots(edges(d8)))
-    outlets = ranked(t.select("root").distinct().withColumn("v", F.col("root").cast("double")))
-    return cell_of(t.join(outlets.select("root", F.col("nth").cast("int").alias("basin")), "root")).select("r", "c", "basin")
+    outlets = value_ranks(t.select("root").distinct(), "root").select("root", (F.col("below") + 1).cast("int").alias("basin"))
+    return cell_of(t.join(outlets, "root")).select("r", "c", "basin")
 
 
 def hand(dem: DataFrame, d8: DataFrame, acc: DataFrame, threshold: float) -> DataFrame:
@@ -137,8 +137,8 @@ def label_regions(grid: DataFrame, eight: bool = False) -> DataFrame:
 def patches(grid: DataFrame, eight: bool = False) -> DataFrame:
     """(r, c, v, label) with labels from 1 in row-major order of their first cells."""
     t = written(label_regions(grid, eight))
-    order = ranked(t.select("label").distinct().withColumn("v", F.col("label").cast("double")))
-    return t.join(order.select("label", F.col("nth").cast("int").alias("patch")), "label").select("r", "c", "v", F.col("patch").alias("label"))
+    order = value_ranks(t.select("label").distinct(), "label").select("label", (F.col("below") + 1).cast("int").alias("patch"))
+    return t.join(order, "label").select("r", "c", "v", F.col("patch").alias("label"))
 
 
 def patch_metrics(labelled: DataFrame, cs: float = 1.0) -> DataFrame:

@@ -71,25 +71,27 @@ def _pairs(cube: DataFrame) -> DataFrame:
     return g.withColumn("p", F.expr(pairs))
 
 
+SLOPES = "array_sort(transform(filter(p, x -> x.dt > 0), x -> x.dy / x.dt))"
+MIDDLE = "CASE WHEN size(slopes) > 0 THEN (element_at(slopes, CAST(floor((size(slopes) + 1) / 2) AS INT)) + element_at(slopes, CAST(floor((size(slopes) + 2) / 2) AS INT))) / 2 END"
+
+
 def sens_slope(cube: DataFrame, least: int = 2) -> DataFrame:
     """The median of the slopes of all pairs of dates."""
-    s = F.expr("array_sort(transform(filter(p, x -> x.dt > 0), x -> x.dy / x.dt))")
-    g = _pairs(cube).filter(F.col("n") >= least).select("r", "c", s.alias("s"))
-    mid = "(element_at(s, CAST(floor((size(s) + 1) / 2) AS INT)) + element_at(s, CAST(floor((size(s) + 2) / 2) AS INT))) / 2"
-    return g.select("r", "c", F.expr(f"CASE WHEN size(s) > 0 THEN {mid} END").alias("v"))
+    return _pairs(cube).filter(F.col("n") >= least).selectExpr("r", "c", f"{SLOPES} AS slopes").selectExpr("r", "c", f"{MIDDLE} AS v")
 
 
 def mann_kendall(cube: DataFrame, alpha: float = 0.05) -> DataFrame:
     """s, tau (b), p_value, trend (-1, 0, 1) and sens_slope of cells with three values or more."""
     g = _pairs(cube).filter("n >= 3")
     ties = "transform(array_distinct(transform(a, x -> x.v)), u -> CAST(size(filter(a, x -> x.v = u)) AS DOUBLE))"
-    g = g.select("r", "c", F.col("n").cast("double").alias("n"), F.expr("CAST(aggregate(p, 0, (q, x) -> q + CAST(sign(x.dy) AS INT)) AS DOUBLE)").alias("s"), F.expr(ties).alias("u"))
+    g = g.select("r", "c", F.col("n").cast("double").alias("n"), F.expr("CAST(aggregate(p, 0, (q, x) -> q + CAST(sign(x.dy) AS INT)) AS DOUBLE)").alias("s"), F.expr(ties).alias("u"), F.expr(SLOPES).alias("slopes"))
+    g = g.withColumn("slope", F.expr(MIDDLE)).drop("slopes")
     total = lambda f: f"aggregate(u, 0D, (q, x) -> q + {f})"
-    g = g.selectExpr("r", "c", "s", "n", f"(n * (n - 1) / 2 - {total('x * (x - 1) / 2')}) * (n * (n - 1) / 2) AS d", f"(n * (n - 1) * (2 * n + 5) - {total('x * (x - 1) * (2 * x + 5)')}) / 18 AS var_")
-    g = g.selectExpr("r", "c", "s", "CASE WHEN d > 0 THEN s / sqrt(d) END AS tau", "CASE WHEN var_ > 0 THEN (s - sign(s)) / sqrt(var_) END AS z")
-    g = g.selectExpr("r", "c", "s", "tau", f"{two_sided_p('z')} AS p_value")
-    g = g.selectExpr("*", f"CASE WHEN p_value < {alpha} THEN sign(s) WHEN p_value IS NOT NULL THEN 0D END AS trend")
-    return g.join(sens_slope(cube).withColumnRenamed("v", "sens_slope"), ["r", "c"], "left")
+    g = g.selectExpr("r", "c", "slope", "s", "n", f"(n * (n - 1) / 2 - {total('x * (x - 1) / 2')}) * (n * (n - 1) / 2) AS d", f"(n * (n - 1) * (2 * n + 5) - {total('x * (x - 1) * (2 * x + 5)')}) / 18 AS var_")
+    g = g.selectExpr("r", "c", "slope", "s", "CASE WHEN d > 0 THEN s / sqrt(d) END AS tau", "CASE WHEN var_ > 0 THEN (s - sign(s)) / sqrt(var_) END AS z")
+    g = g.selectExpr("r", "c", "slope", "s", "tau", f"{two_sided_p('z')} AS p_value")
+    trend = f"CASE WHEN p_value < {alpha} THEN sign(s) WHEN p_value IS NOT NULL THEN 0D END AS trend"
+    return g.selectExpr("r", "c", "s", "tau", "p_value", trend, "slope AS sens_slope")
 
 
 def median_composite(scenes: DataFrame) -> DataFrame:

@@ -93,9 +93,10 @@ def test_formulas():
 def test_ranks_over_bins(spark):
     v = RNG.integers(0, 20, 500).astype(float)
     df = spark.createDataFrame([(float(x),) for x in v], "v double")
-    for r in cells.ranked(df, bins=7).collect():
-        assert r["below"] == (v < r["v"]).sum()
-    assert sorted(r["nth"] for r in cells.ranked(df).collect()) == list(range(1, 501))
+    for bins in (1, 7, 64):
+        ranks = cells.value_ranks(df, bins=bins).collect()
+        assert len(ranks) == len(set(v.tolist()))
+        assert all(r["below"] == (v < r["v"]).sum() and r["n"] == (v == r["v"]).sum() for r in ranks)
     assert cells.nearest_rank(df, 0.25).first()["x"] == np.sort(v)[math.floor(499 * 0.25 + 0.5)]
 
 
@@ -254,3 +255,23 @@ def test_textures_over_tiles(spark):
     for feature in ("contrast", "entropy", "correlation"):
         got = kn.run(grid(spark, z), lambda a, f=feature: kn.glcm(a, 2, 16, f, limits), {"v": "double"}, halo=4, tile=11)
         np.testing.assert_allclose(array(got, z.shape), kn.glcm(z, 2, 16, feature), atol=1e-9)
+
+
+def test_zone_medians_are_exact(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, 0, float(rng.integers(0, 40)) if i % 5 else 3.0, int(rng.integers(1, 6))) for i in range(700)]
+    got = {r["zone"]: (r["median"], r["variety"]) for r in cells.zonal(spark.createDataFrame(rows, "r int, c int, v double, zone int")).collect()}
+    for zone in range(1, 6):
+        v = [x for _, _, x, z in rows if z == zone]
+        assert got[zone] == (np.median(v), len(set(v)))
+
+
+def test_cones_against_all_pairs(spark):
+    from gridloom.operators import fluvial
+
+    z = terrain(25, 37, 3)
+    spots = [(2, 3), (20, 25), (12, 12)]
+    got = array(fluvial.energy_cone(grid(spark, z), spark.createDataFrame(spots, "r int, c int"), 30.0, 20.0), z.shape)
+    r, c = np.indices(z.shape)
+    top = np.max([z[a, b] + 20 - np.tan(np.radians(30)) * np.hypot(r - a, c - b) for a, b in spots], 0)
+    np.testing.assert_allclose(got, np.where(np.isnan(z), np.nan, np.maximum(top - z, 0)), atol=1e-9)
