@@ -20,14 +20,14 @@ one narrow pass over them, summed per task; only vectors of the number of
 features reach the driver. Texts are read once and not moved.
 
 Cases. Null and empty texts have all-zero features and get the score that the
-model gives to those. No positives, or an empty table: every score is the
-prior. A document labelled several times: the largest label counts. A repeated
+model gives to those. No positives, or an empty table: every score is 0.5. A document labelled several times: the largest label counts. A repeated
 row is scored each time. Extra columns are dropped by the scores and kept by
 :func:`keep_good`.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -172,6 +172,37 @@ def fit(rows: DataFrame, positives: np.ndarray, prior: float, steps: int = 40, r
     return mean, scale, w
 
 
+#: Bins of scores, slack and failure chance of the prior's bounds.
+BINS, SLACK, CHANCE = 1000, 0.01, 0.1
+
+
+def chances(x: np.ndarray, model) -> np.ndarray:
+    mean, scale, w = model
+    return 1 / (1 + np.exp(-np.clip(np.clip((expand(x) - mean) / scale, -8, 8) @ w, -30, 30)))
+
+
+def best_bin(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The class prior from counts of scores in equal bins, the lowest scores first."""
+    n_u, n_p = max(unlabelled.sum(), 1), max(positive.sum(), 1)
+    q_u, q_p = np.cumsum(unlabelled[::-1]) / n_u, np.cumsum(positive[::-1]) / n_p
+    some = q_p > 0
+    if not some.any():
+        return 0.5
+    wide = math.sqrt(math.log(4 / CHANCE) / (2 * n_u)) + math.sqrt(math.log(4 / CHANCE) / (2 * n_p))
+    ratio = q_u[some] / q_p[some]
+    at = int((ratio + (1 + SLACK) * wide / q_p[some]).argmin())
+    return float(np.clip(ratio[at], 0.01, 0.99))
+
+
+def estimated_prior(rows: DataFrame, positives: np.ndarray, steps: int = 20) -> float:
+    """The share of positives among ``rows`` (f), from positives in any order."""
+    if len(positives) < 20:
+        return 0.5
+    model = fit(rows, positives[::2], 0.5, steps)
+    counts = lambda x: np.bincount((chances(x, model) * (BINS - 1)).astype(int), minlength=BINS).astype(float)
+    return best_bin(_pass(rows, counts, BINS), counts(positives[1::2]))
+
+
 def scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -191,16 +222,15 @@ def scores(
         .filter(F.col("y").isNotNull() & F.col("id").isNotNull() & learn_flag("id", folds, held))
         .groupBy("id").agg(F.max("y").alias("y"))
     )
-    count = known.agg(F.count("*").alias("n"), F.sum((F.col("y") == 1).cast("long")).alias("p")).first()
-    n_known, n_pos = count["n"], count["p"] or 0
-    prior = n_pos / n_known if n_known else 0.5
+    n_pos = known.filter("y = 1").count()
     thin = min(1.0, max_positives / n_pos) if n_pos else 1.0
     chosen = known.filter((F.col("y") == 1) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(thin * 1_000_000)))
     got = feats.join(chosen, "id").orderBy("id").select("f").toPandas()["f"].tolist() if n_pos else []
     learn = feats.filter(learn_flag("id", folds, held))
-    model = None
+    model, prior = None, 0.5
     if got:
         positives = np.frombuffer(b"".join(map(bytes, got)), np.float32).reshape(-1, N_FEATURES).astype(float)
+        prior = estimated_prior(learn, positives)
         model = fit(learn, positives, prior, steps)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,9 +238,7 @@ def scores(
             if model is None:
                 s = np.full(b.num_rows, prior)
             else:
-                mean, scale, w = model
-                x = _matrix(b.column(1)) if b.num_rows else np.zeros((0, N_FEATURES))
-                s = 1 / (1 + np.exp(-np.clip(np.clip((expand(x) - mean) / scale, -8, 8) @ w, -30, 30)))
+                s = chances(_matrix(b.column(1)) if b.num_rows else np.zeros((0, N_FEATURES)), model)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"]
             )

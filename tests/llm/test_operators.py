@@ -315,6 +315,24 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == d.columns and kept.filter("doc_id % 5 <> 0").count() >= 310
 
 
+def test_best_bin_finds_the_share_of_positives():
+    rng = np.random.default_rng(5)
+    counts = lambda x: np.bincount((np.clip(x, 0, 1) * (quality.BINS - 1)).astype(int), minlength=quality.BINS).astype(float)
+    for prior in (0.2, 0.5, 0.85):
+        n = 40_000
+        high, low = rng.beta(6, 2, n), rng.beta(2, 6, n)
+        mixed = np.where(rng.random(n) < prior, rng.beta(6, 2, n), low)
+        assert abs(quality.best_bin(counts(mixed), counts(high[:4000])) - prior) < 0.05
+    assert quality.best_bin(np.zeros(quality.BINS), np.zeros(quality.BINS)) == 0.5
+
+
+def test_prior_without_labels_of_the_other_class(spark):
+    docs, marks = junk_corpus(spark)
+    only = marks.filter("quality = 1")
+    got = quality.scores(docs, only).orderBy("doc_id").collect()
+    assert got == quality.scores(docs, marks).orderBy("doc_id").collect()
+
+
 def test_toxicity_on_held_out_rows(spark):
     d, m = junk_corpus(spark)
     out = toxicity.scores(d, m)
