@@ -4,18 +4,20 @@ Tokens are the words of lower-cased text. Token scores are log-odds of toxic
 against other labelled documents with an informative Dirichlet prior (Monroe,
 Colaresi and Quinn 2008): pseudo-counts follow each word's share of the whole
 corpus. A word scores the lower confidence bound of its log-odds where that is
-over ``floor`` (toxic text uses it e times as often, for certain); all other
-words cost ``gap`` each. Every maximal scoring segment of a
+over ``floor`` (toxic text uses it e times as often, for certain), and the upper
+bound where that is under ``-gap`` (clean text does, for certain); all other
+words, whose side is not certain, cost ``gap`` each. Every maximal scoring segment of a
 document is found in linear time (Ruzzo and Tompa 1999). A segment's score S
 becomes ``lambda * S - ln(K * n)`` for n words (Karlin and Altschul 1990),
 where lambda solves ``sum p e^(lambda s) = 1`` for the background's word
-frequencies; segments above 0 are the significant passages. A document's
+frequencies and K is fitted to the best scores of the clean learning rows; segments
+above 0 are the significant passages. A document's
 largest and summed values are calibrated to a probability by a logistic fit.
 
 Labels are learned from at most about ``max_toxic`` and ``max_clean`` rows of
 the learning folds, thinned by a hash of the id (documented bounds, so ids and
 words of them can be broadcast). Word shares are counted over all documents.
-Three narrow passes over the texts; texts are never moved. What is shuffled or
+Four narrow passes over the texts; texts are never moved. What is shuffled or
 sent to the driver is one row a candidate word and task: words seen in at
 least ``min_docs`` of the bounded toxic sample.
 
@@ -41,21 +43,18 @@ from gridloom.llm._run import map_arrow, written
 from gridloom.llm.quality import learn_flag
 
 
-def maximal_segments(at: list[int], score: list[float], gap: float) -> list[tuple[int, int, float]]:
-    """(first, end, score) of all maximal scoring segments, where position ``at[i]`` scores
-    ``score[i]`` > 0 and every other position -``gap``."""
+def maximal_segments(at: list[int], score: list[float], before: list[float]) -> list[tuple[int, int, float]]:
+    """(first, end, score) of all maximal scoring segments, where position ``at[i]`` scores ``score[i]`` > 0,
+    ``before[i]`` is the sum of all positions before it, and no other position scores above 0."""
     found: list[list[float]] = []  # start, end, sum before it, sum through it, nearest earlier one with a smaller sum before
-    total, last = 0.0, -1
-    for i, s in zip(at, score):
-        total -= gap * (i - last - 1) if last >= 0 else 0.0
-        left, right, start = total, total + s, i
-        total, last = right, i
+    for start, s, left in zip(at, score, before):
+        end, right = start + 1, left + s
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= left:
                 j = int(found[j][4])
             if j < 0 or found[j][3] >= right:
-                found.append([start, i + 1, left, right, j])
+                found.append([start, end, left, right, j])
                 break
             start, left = int(found[j][0]), found[j][2]
             del found[j:]
@@ -76,32 +75,53 @@ def karlin_lambda(p: np.ndarray, s: np.ndarray, gap: float) -> float:
 
 
 class Lexicon:
-    """Scored word hashes (sorted) and the extreme-value constants."""
+    """Word hashes (sorted) with scores, what all other words cost, and the extreme-value constants."""
 
     def __init__(self, words: np.ndarray, score: np.ndarray, lam: float, gap: float, k: float = 0.1):
         order = np.argsort(words)
         self.words, self.score, self.lam, self.gap, self.k = words[order], score[order], lam, gap, k
 
-    def passages(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
-        """(words, [(first byte, end byte, significance), ...]) of each text."""
+    def segments(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """(words, [(first byte, end byte, score), ...]) of each text, for all maximal scoring segments."""
         for a, b, raw, off in tx.chunks(texts):
             _, start, end, first, h = tx.words(raw, off)
+            value = np.full(len(h), -self.gap)
             if len(self.words) and len(h):
                 at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-                hit = np.flatnonzero(self.words[at] == h)
-            else:
-                at = hit = np.zeros(0, np.int64)
-            cut = np.searchsorted(hit, first)
+                value = np.where(self.words[at] == h, self.score[at], value)
+            total = np.concatenate([[0.0], np.cumsum(value)])
+            up = np.flatnonzero(value > 0)
+            cut = np.searchsorted(up, first)
             for i in range(b - a):
-                n = int(first[i + 1] - first[i])
-                mine = hit[cut[i] : cut[i + 1]]
-                out = []
-                if len(mine):
-                    base = math.log(self.k * n) if self.k * n > 1 else 0.0
-                    for x, y, s in maximal_segments(mine.tolist(), self.score[at[mine]].tolist(), self.gap):
-                        if (sig := self.lam * s - base) > 0:
-                            out.append((int(start[x] - off[i]), int(end[y - 1] - off[i]), sig))
-                yield n, out
+                mine = up[cut[i] : cut[i + 1]]
+                out = maximal_segments(mine.tolist(), value[mine].tolist(), total[mine].tolist()) if len(mine) else []
+                yield int(first[i + 1] - first[i]), [(int(start[x] - off[i]), int(end[y - 1] - off[i]), s) for x, y, s in out]
+
+    def passages(self, texts: pa.Array) -> Iterator[tuple[int, list[tuple[int, int, float]]]]:
+        """(words, [(first byte, end byte, significance), ...]) of each text, for the significant segments."""
+        for n, found in self.segments(texts):
+            base = math.log(max(self.k * n, 1.0))
+            yield n, [(x, y, self.lam * s - base) for x, y, s in found if self.lam * s > base]
+
+
+def extreme_constant(clean: DataFrame, lexicon: Lexicon) -> float:
+    """K of the extreme-value law of best scores, by maximum likelihood over clean texts (t): the number of those
+    with a segment over the sum of n * e^(-lambda * S), for texts of n words whose best segment scores S. Where there
+    is none, S is only known to be under the least score of a word."""
+    least = float(lexicon.score[lexicon.score > 0].min(initial=np.inf))
+    if not math.isfinite(least):
+        return 0.1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, total = 0.0, 0.0
+        for b in batches:
+            for n, found in lexicon.segments(b.column(0)):
+                docs += bool(found)
+                total += n * math.exp(-lexicon.lam * max((s for *_, s in found), default=least))
+        yield pa.RecordBatch.from_arrays([pa.array([docs]), pa.array([total])], names=["docs", "total"])
+
+    got = map_arrow(clean.select("t"), run, "docs double, total double").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).first()  # one row
+    return got["docs"] / got["total"] if got["docs"] else 0.1
 
 
 def _word_counts(rows: DataFrame, candidates: np.ndarray | None) -> DataFrame:
@@ -164,13 +184,20 @@ def learn_lexicon(
     t, n = got.t.to_numpy() + alpha, got.n.to_numpy() + alpha
     with np.errstate(divide="ignore", invalid="ignore"):
         delta = np.log(t / np.maximum(n_t + a0 - t, 1)) - np.log(n / np.maximum(n_n + a0 - n, 1))
-        bound = delta - z * np.sqrt(1 / t + 1 / n)
-    keep = np.isfinite(bound) & (bound > floor)
-    share = (got.n.to_numpy()[keep] + alpha[keep]) / max(n_n + a0, 1)
-    s = bound[keep]
+        error = z * np.sqrt(1 / t + 1 / n)
+    low, high = delta - error, delta + error
+    ok = np.isfinite(delta)
+    up, down = ok & (low > floor), ok & (high < -gap)
+    share = (got.n.to_numpy() + alpha) / max(n_n + a0, 1)
+    s = np.where(up, low, np.where(down, high, 0.0))
     # the expected score must be negative, or there would be no lambda
-    gap = max(gap, 2 * float((share * s).sum()) / max(1 - float(share.sum()), 1e-9))
-    return Lexicon(got.w.to_numpy(np.int64).view(np.uint64)[keep], s, karlin_lambda(share, s, gap), gap)
+    free = 1 - float(share[up | down].sum())
+    gap = max(gap, 2 * float((share * s).sum()) / max(free, 1e-9))
+    keep = up | down
+    words, s, share = got.w.to_numpy(np.int64).view(np.uint64)[keep], s[keep], share[keep]
+    lexicon = Lexicon(words, s, karlin_lambda(share, s, gap), gap)
+    lexicon.k = extreme_constant(docs.join(F.broadcast(known.filter("y = 0")), "id"), lexicon)
+    return lexicon
 
 
 def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:

@@ -360,12 +360,25 @@ def test_maximal_segments_by_definition():
 
     rng = random.Random(5)
     for _ in range(200):
-        v = [rng.choice([0.5, 1.0, 2.25, -0.75, -0.75, -0.75]) for _ in range(rng.randint(0, 20))]
+        v = [rng.choice([0.5, 1.0, 2.25, -0.75, -0.75, -1.625]) for _ in range(rng.randint(0, 20))]
         at = [i for i, x in enumerate(v) if x > 0]
-        got = toxicity.maximal_segments(at, [v[i] for i in at], 0.75)
+        got = toxicity.maximal_segments(at, [v[i] for i in at], [sum(v[:i]) for i in at])
         assert [g[:2] for g in got] == brute(v)
 
 
+def test_passages_weigh_all_certain_words_and_the_constant_is_fitted(spark):
+    hashes = toxicity.tx.words(*toxicity.tx.buffers(toxicity.pa.array(["bad nice"])))[4]
+    lexicon = toxicity.Lexicon(hashes, np.array([2.0, -3.0]), 1.0, 0.5, 0.1)
+    texts = toxicity.pa.array(["bad x bad", "bad nice bad", "x y", None, ""])
+    got = [(n, [(a, b, round(s, 9)) for a, b, s in found]) for n, found in lexicon.segments(texts)]
+    assert got == [(3, [(0, 9, 3.5)]), (3, [(0, 3, 2.0), (9, 12, 2.0)]), (2, []), (0, []), (0, [])]
+    assert [len(p) for _, p in lexicon.passages(texts)] == [1, 2, 0, 0, 0]
+    clean = spark.createDataFrame([(t,) for t in texts.to_pylist()], "t string")
+    want = 2 / (3 * math.exp(-3.5) + 3 * math.exp(-2.0) + 2 * math.exp(-2.0))
+    assert abs(toxicity.extreme_constant(clean, lexicon) - want) < 1e-9
+    assert toxicity.extreme_constant(clean.limit(0), lexicon) == 0.1
+
+
 # 6 tokens
 
 
