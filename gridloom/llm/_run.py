@@ -73,10 +73,12 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this process only where none is named, as in tests."""
+    """The cluster's shared folder; one of this process only where none is named and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir names no folder that all executors share")
     global _OWN
     if _OWN is None:
         _OWN = tempfile.TemporaryDirectory(prefix="gridloom-")
@@ -189,10 +191,12 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def sized(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
-    """A written table, marked for broadcast only where its counted rows fit in ``limit`` bytes;
-    beyond it the planner shuffles both sides."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sized(df: DataFrame, row_bytes: int, array: str | None = None, item_bytes: int = 0, limit: int = 32 << 20) -> DataFrame:
+    """A written table, marked for broadcast only where its counted rows, and the items of its column
+    ``array``, fit in ``limit`` bytes; beyond it the planner shuffles both sides."""
+    items = F.coalesce(F.sum(F.size(array)), F.lit(0)) if array else F.lit(0)
+    n = df.agg(F.count("*").alias("rows"), items.alias("items")).first()
+    return F.broadcast(df) if n["rows"] * row_bytes + n["items"] * item_bytes <= limit else df
 
 
 def packed(docs: DataFrame) -> DataFrame:

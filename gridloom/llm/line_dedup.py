@@ -485,7 +485,7 @@ def with_cuts(rows: DataFrame, gone: DataFrame) -> DataFrame:
     """Adds ``cuts`` to rows (doc_id, text, ...) by id and text."""
     gone = gone.select(F.col("doc_id").alias("cut_id"), F.col("th").alias("cut_th"), "cuts")
     match = (F.col("doc_id") == F.col("cut_id")) & (F.xxhash64("text") == F.col("cut_th"))
-    return rows.join(sized(gone, 200), match, "left").drop("cut_id", "cut_th")
+    return rows.join(sized(gone, 64, "cuts", 40), match, "left").drop("cut_id", "cut_th")
 
 
 def dedup_lines(docs: DataFrame, t: float = 0.8, drop_emptied: bool = False) -> DataFrame:
