@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,11 +66,19 @@ def edges(d8: DataFrame, cs: float = 1.0) -> DataFrame:
     return e.select("id", F.when(F.col("on"), F.col("to")).alias("to"), F.when(F.col("on"), F.col("len")).alias("len"))
 
 
+def _rounds(state: DataFrame) -> Iterator[int]:
+    """As many rounds as doubling takes over a way through all nodes; one more is an error."""
+    yield from range(state.count().bit_length() + 1)
+    raise ValueError("directions run in a circle")
+
+
 def accumulate(e: DataFrame, weight: str | None = None) -> DataFrame:
     """(id, acc): nodes upstream of each node, or the sum of their ``weight``, itself not counted."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     state = written(e.select("id", "to", w.alias("w"), w.alias("own")))
+    rounds = _rounds(state)
     while state.filter("to IS NOT NULL").take(1):
+        next(rounds)
         got = state.filter("to IS NOT NULL").groupBy(F.col("to").alias("id")).agg(F.sum("w").alias("more"))
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"))
         state = state.join(ahead, "to", "left").join(got, "id", "left")
@@ -79,7 +89,9 @@ def accumulate(e: DataFrame, weight: str | None = None) -> DataFrame:
 def roots(e: DataFrame) -> DataFrame:
     """(id, root, dist): the last node downstream and the length of the way to it."""
     state = written(e.select("id", "to", F.coalesce("to", "id").alias("root"), F.coalesce("len", F.lit(0.0)).alias("dist")))
+    rounds = _rounds(state)
     while state.filter("to IS NOT NULL").take(1):
+        next(rounds)
         ahead = state.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("root").alias("r2"), F.col("dist").alias("d2"))
         j = state.join(ahead, "to", "left")
         state = written(j.select("id", F.col("next").alias("to"), F.coalesce("r2", "root").alias("root"), (F.col("dist") + F.coalesce("d2", F.lit(0.0))).alias("dist")))

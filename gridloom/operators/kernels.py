@@ -305,7 +305,10 @@ def resolve_flats(z: np.ndarray, d: np.ndarray) -> np.ndarray:
         for k, (a, b) in enumerate(STEPS, 1):
             q = (r + a, c + b)
             if inside(z.shape, *q) and z[q] == z[r, c]:
-                key = (cost[q] if towards[q] >= 0 else -1) / FAR[k - 1]
+                key = cost[q] if towards[q] >= 0 else -1
+                if key >= cost[r, c]:  # up the gradients a diagonal could run in a circle
+                    continue
+                key /= FAR[k - 1]
                 if best is None or key < best[0]:
                     best = (key, k)
         d[r, c] = best[1] if best else 0
@@ -419,6 +422,40 @@ def dinf_accumulation(angle: np.ndarray) -> np.ndarray:
     return np.where(np.isnan(angle), np.nan, acc.reshape(n, m))
 
 
+def facet_accumulation(z: np.ndarray, least: float = 1e-8) -> np.ndarray:
+    """Flow over eight triangular facets: each whose steepest descent lies inside it takes a share by its slope, and
+    splits it between its two cells by the angle. Without such a facet, lower cells share by their slopes."""
+    n, m = z.shape
+    shares = np.zeros((8, n, m))
+    for k in range(8):
+        q = (k + 1) % 8
+        (ri, ci), (rj, cj) = STEPS[k], STEPS[q]
+        zi, zj = shifted(z, ri, ci) - z, shifted(z, rj, cj) - z
+        det = ci * rj - cj * ri
+        gx, gy = (zi * rj - zj * ri) / det, (ci * zj - cj * zi) / det
+        slope = np.hypot(gx, gy)
+        # the turn from cell k towards cell q, up to the eighth of a circle between them
+        turn = lambda y, x, ri=ri, ci=ci: np.arctan2(ci * y - ri * x, ci * x + ri * y)
+        whole = float(turn(rj, cj))
+        part = turn(-gy, -gx) / whole
+        ok = (slope >= least) & (part >= -1e-12) & (part <= 1 + 1e-12)
+        part = np.clip(part, 0, 1)
+        shares[k] += np.where(ok, slope * (1 - part), 0)
+        shares[q] += np.where(ok, slope * part, 0)
+    none = shares.sum(0) <= 0
+    for k, ((dr, dc), d) in enumerate(zip(STEPS, FAR)):
+        drop = z - shifted(z, dr, dc)
+        shares[k] = np.where(none & (drop > least), drop / d, shares[k])
+    total = shares.sum(0)
+    acc = np.where(np.isnan(z), 0.0, 1.0)
+    for i in np.argsort(-np.nan_to_num(z, nan=-np.inf).ravel(), kind="stable").tolist():
+        r, c = divmod(i, m)
+        if total[r, c] > 0:
+            for k in np.flatnonzero(shares[:, r, c]):
+                acc[r + STEPS[k][0], c + STEPS[k][1]] += acc[r, c] * shares[k, r, c] / total[r, c]
+    return np.where(np.isnan(z), np.nan, np.maximum(acc - 1, 0))
+
+
 def strahler(d: np.ndarray, stream: np.ndarray) -> np.ndarray:
     """Orders of stream cells by the textbook rule: two or more of the highest order raise it by one."""
     to, on = receivers(d), (stream > 0).ravel()

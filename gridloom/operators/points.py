@@ -140,6 +140,122 @@ def thin_plate(grid: DataFrame, points: DataFrame, smoothing: float = 0.0, most:
     return grid.select("r", "c", F.pandas_udf(value, "double")("x", "y").alias("v"))
 
 
+def half_plane(polygon: list[tuple[float, float]], a: float, b: float, c: float) -> list[tuple[float, float]]:
+    """The part of a convex polygon where a x + b y <= c."""
+    out = []
+    for p, q in zip(polygon, polygon[1:] + polygon[:1]):
+        u, v = a * p[0] + b * p[1] - c, a * q[0] + b * q[1] - c
+        if u <= 0:
+            out.append(p)
+        if (u < 0 < v) or (v < 0 < u):
+            t = u / (u - v)
+            out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+    return out
+
+
+def _size(polygon: list[tuple[float, float]]) -> float:
+    return abs(sum(p[0] * q[1] - p[1] * q[0] for p, q in zip(polygon, polygon[1:] + polygon[:1]))) / 2
+
+
+def sibson(x: float, y: float, near: np.ndarray) -> np.ndarray:
+    """Natural-neighbour weights of (x, y) among ``near`` (n, 2): the areas that its cell would take from theirs.
+
+    Cells are cut to a square as wide as the neighbours reach, which ends those that are open.
+    """
+    p = near - (x, y)
+    half = float(np.abs(p).max()) or 1.0
+    square = [(-half, -half), (half, -half), (half, half), (-half, half)]
+    own = square
+    for u, v in p:
+        own = half_plane(own, u, v, (u * u + v * v) / 2)
+    out = np.zeros(len(p))
+    for i, (u, v) in enumerate(p):
+        part = own
+        for k, (s, t) in enumerate(p):
+            if k != i and part:
+                part = half_plane(part, s - u, t - v, (s * s + t * t - u * u - v * v) / 2)
+        out[i] = _size(part) if len(part) > 2 else 0.0
+    return out
+
+
+def natural_neighbours(grid: DataFrame, points: DataFrame, radius: float, max_points: int = 32) -> DataFrame:
+    """(r, c, v) by Sibson's areas among the nearest points within ``radius``; a point at the cell gives its value."""
+    p = pairs_within(grid, points.groupBy("x", "y").agg(F.avg("value").alias("value"), F.min("id").alias("id")), radius)
+    near = F.slice(F.array_sort(F.collect_list(F.struct("d", "id", "px", "py", "value"))), 1, max_points)
+    g = p.groupBy("r", "c", "x", "y").agg(near.alias("a"))
+
+    def solve(batches):
+        for b in batches:
+            out = []
+            for r, c, x, y, a in b[["r", "c", "x", "y", "a"]].itertuples(index=False):
+                q = np.array([(t["px"], t["py"], t["value"], t["d"]) for t in a], float)
+                if q[0, 3] < 1e-12:
+                    out.append((r, c, q[0, 2]))
+                    continue
+                w = sibson(x, y, q[:, :2])
+                out.append((r, c, float(w @ q[:, 2] / w.sum()) if w.sum() > 0 else q[0, 2]))
+            yield pd.DataFrame(out, columns=["r", "c", "v"])
+
+    workers_see_package(grid.sparkSession)
+    return g.mapInPandas(solve, "r int, c int, v double")
+
+
+def delaunay(p: np.ndarray) -> np.ndarray:
+    """Triangles (n, 3) of distinct points, point by point: those whose circles hold the next one go, and the rim
+    of the hole is joined to it. Each step is one array pass over the triangles."""
+    n = len(p)
+    mid, reach = p.mean(0), max(float(np.ptp(p, axis=0).max()), 1e-12) * 1e4
+    q = np.concatenate([p, mid + reach * np.array([[-2.0, -1.0], [2.0, -1.0], [0.0, 2.5]])])
+    tri = np.array([[n, n + 1, n + 2]])
+    for i in np.lexsort((p[:, 1], p[:, 0])).tolist():
+        a, b, c = (q[tri[:, k]] - q[i] for k in range(3))
+        sq = lambda v: (v * v).sum(1)
+        inside = (
+            sq(a) * (b[:, 0] * c[:, 1] - c[:, 0] * b[:, 1]) - sq(b) * (a[:, 0] * c[:, 1] - c[:, 0] * a[:, 1]) + sq(c) * (a[:, 0] * b[:, 1] - b[:, 0] * a[:, 1])
+        ) > 0  # triangles run anticlockwise
+        bad = tri[inside]
+        edges = np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]])
+        twice = set(map(tuple, edges[:, ::-1].tolist()))
+        rim = [e for e in map(tuple, edges.tolist()) if e not in twice]
+        tri = np.concatenate([tri[~inside], np.array([(u, v, i) for u, v in rim], int).reshape(-1, 3)])
+    return tri[(tri < n).all(1)]
+
+
+def tin(grid: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """(r, c, v): linear over the Delaunay triangles of the points; null outside their hull.
+
+    Cells are dealt in squares of four radii; each square triangulates the points within ``radius`` of it, which
+    gives the triangles of all points wherever their circles are no wider than that.
+    """
+    workers_see_package(grid.sparkSession)
+    side = 4 * radius
+    at = lambda c: F.floor(F.col(c) / side).cast("long")
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side)))
+    cells_ = grid.select("r", "c", "x", "y", at("x").alias("bx"), at("y").alias("by"))
+    p = points.filter("value is not null").groupBy("x", "y").agg(F.avg("value").alias("value"))
+    p = p.withColumn("bx", near("x")).withColumn("by", near("y"))
+
+    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = np.full(len(left), np.nan)
+        if len(left) and len(right) > 2:
+            right = right.sort_values(["x", "y"])
+            q, v = right[["x", "y"]].to_numpy(float), right["value"].to_numpy(float)
+            xy = left[["x", "y"]].to_numpy(float)
+            for t in delaunay(q):
+                a, b, c = q[t]
+                box = (xy >= q[t].min(0) - 1e-12).all(1) & (xy <= q[t].max(0) + 1e-12).all(1) & np.isnan(out)
+                d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
+                if not box.any() or d == 0:
+                    continue
+                s = xy[box] - c
+                u, w = ((b[1] - c[1]) * s[:, 0] + (c[0] - b[0]) * s[:, 1]) / d, ((c[1] - a[1]) * s[:, 0] + (a[0] - c[0]) * s[:, 1]) / d
+                ok = (u >= -1e-10) & (w >= -1e-10) & (u + w <= 1 + 1e-10)
+                out[np.flatnonzero(box)[ok]] = (u * v[t[0]] + w * v[t[1]] + (1 - u - w) * v[t[2]])[ok]
+        return pd.DataFrame({"r": left["r"], "c": left["c"], "v": pd.Series(out, index=left.index)})
+
+    return cells_.groupBy("bx", "by").cogroup(p.groupBy("bx", "by")).applyInPandas(one, "r int, c int, v double")
+
+
 def swath(points_on: DataFrame, baseline: list[tuple[float, float]], half_width: float) -> DataFrame:
     """bin (nearest vertex of the baseline), n, min, mean and max of (x, y, v) within the half width."""
     line = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in baseline])

@@ -185,7 +185,8 @@ grid_query("flow_direction", kn.d8, {"d": "int"})
 grid_query("resolve_flats", lambda z: kn.resolve_flats(z, kn.d8(z, False)), {"d": "int"})
 grid_query("flow_accumulation_mfd", kn.mfd)
 grid_query("flow_accumulation_mfd_adaptive", kn.mfd_adaptive)
-grid_query("flow_accumulation_tfga", lambda z: kn.dinf_accumulation(kn.dinf(kn.priority_flood(z, 1e-4))))
+grid_query("flow_accumulation_tfga", kn.facet_accumulation)
+register("priority_flood_flat", lambda s, d: rounded(kn.flooded(g_qty(s, d))))
 grid_query("flow_direction_dinf", kn.dinf, halo=1)
 grid_query("flow_accumulation_dinf", lambda z: kn.dinf_accumulation(kn.dinf(z)))
 grid_query("flow_dinf", lambda z: {"angle": (a := kn.dinf(z)), "acc": kn.dinf_accumulation(a)}, {"angle": "double", "acc": "double"})

@@ -12,6 +12,7 @@ from gridloom.functions import geo
 from gridloom.functions import surface as sf
 from gridloom.operators import focal
 from gridloom.operators import kernels as kn
+from gridloom.operators import sight
 from gridloom.plans.queries_graph import grid_query
 from gridloom.plans.recipes import g_bands, g_qty, nine, with_, zoned
 from gridloom.plans.registry import r6, register, rounded
@@ -72,8 +73,8 @@ def shadowed(z: np.ndarray) -> np.ndarray:
     return kn.solar(slope, aspect) * (0.25 + 0.75 * lit)
 
 
-grid_query("viewshed_xdraw", lambda z: kn.viewshed(z, 16, 16, 100.0), {"v": "int"})
-grid_query("viewshed_pderl", lambda z: kn.viewshed(z, 10, 20, 100.0), {"v": "int"})
+grid_query("viewshed_xdraw", lambda z: sight.xdraw(z, 16, 16, 100.0), {"v": "int"})
+grid_query("viewshed_pderl", lambda z: sight.pderl(z, 10, 20, 100.0), {"v": "int"})
 grid_query("viewshed_probabilistic", visible_share)
 grid_query("observer_optimization", lambda z: best_observers(z, [(r, c) for r in (4, 16, 28) for c in (4, 16, 28)]), {"v": "int"})
 grid_query("horizon_angles_fast", lambda z: {f"h{i}": np.arctan(h) for i, h in enumerate(kn.horizons(z, 12, 4))}, {f"h{i}": "double" for i in range(4)}, halo=12)

@@ -40,8 +40,8 @@ register("ordinary_kriging", lambda s, d: rounded(pt.kriging(cells(s), points(s,
 register("universal_kriging", lambda s, d: rounded(pt.kriging(cells(s), points(s, d), 0.2, best_model(s, d), drift=1)))
 
 
-def regression_kriging(s, d):
-    """A plane by least squares, and kriging of what it leaves."""
+def regression_kriging(s, d, model=None):
+    """A plane by least squares, and kriging of what it leaves, with a variogram that is given or fitted."""
     p = points(s, d)
     row = p.agg(*[F.avg(c) for c in ("x", "y", "value")], F.covar_pop("x", "x"), F.covar_pop("x", "y"), F.covar_pop("y", "y"), F.covar_pop("x", "value"), F.covar_pop("y", "value")).first()
     mx, my, mv, xx, xy, yy, xv, yv = row
@@ -49,14 +49,15 @@ def regression_kriging(s, d):
     a, b = (xv * yy - yv * xy) / det, (yv * xx - xv * xy) / det
     plane = mv + (F.col("x") - mx) * a + (F.col("y") - my) * b
     left = p.select("id", "x", "y", (F.col("value") - plane).alias("value"))
-    k = pt.kriging(cells(s), left, 0.2, best_model(s, d))
+    k = pt.kriging(cells(s), left, 0.2, model or best_model(s, d))
     return k.join(cells(s), ["r", "c"]).select("r", "c", (F.col("v") + plane).alias("v"), "variance")
 
 
 register("regression_kriging", lambda s, d: rounded(regression_kriging(s, d)))
-register("regression_kriging_with_variogram", lambda s, d: rounded(regression_kriging(s, d).filter("variance IS NOT NULL")))
+register("regression_kriging_with_variogram", lambda s, d: rounded(regression_kriging(s, d, ("exponential", 0.002, 0.016, 0.15))))
 register("tps_interpolation", lambda s, d: rounded(pt.thin_plate(cells(s), points(s, d), 1e-3), "v"))
-register("natural_neighbor", lambda s, d: rounded(pt.idw(cells(s), points(s, d), 0.12, 1.0), "v"))
+register("natural_neighbor", lambda s, d: rounded(pt.natural_neighbours(cells(s), points(s, d), 0.2, 24), "v"))
+register("tin_interpolation", lambda s, d: rounded(pt.tin(cells(s), points(s, d), 0.4), "v"))
 register("grid_points_in_polygon", lambda s, d: s.range(144).selectExpr("CAST(floor(id / 12) AS INT) AS r", "CAST(id % 12 AS INT) AS c", "id % 12 + 0.5D AS x", "floor(id / 12) + 0.5D AS y").withColumn("ring", F.expr("array(named_struct('x', 1.03D, 'y', 1.07D), named_struct('x', 10.11D, 'y', 2.05D), named_struct('x', 7.02D, 'y', 11.3D))")).filter(pt.contains(F.col("ring"), F.col("x"), F.col("y"))).select("r", "c"),
     "SELECT CAST(i // 12 AS INT) AS r, CAST(i % 12 AS INT) AS c FROM (SELECT i, i % 12 + 0.5E0 x, i // 12 + 0.5E0 y FROM range(144) t(i)) WHERE (x - 1.03E0) * 0.98E0 - (y - 1.07E0) * 9.08E0 < 0 AND (x - 10.11E0) * 9.25E0 - (y - 2.05E0) * -3.09E0 < 0 AND (x - 7.02E0) * -10.23E0 - (y - 11.3E0) * -5.99E0 < 0")
 PATCH = "SELECT p.id, list(b.b1 ORDER BY b.r, b.c) AS patch FROM q p JOIN bands b ON abs(b.r - p.r) <= 1 AND abs(b.c - p.c) <= 1 GROUP BY p.id HAVING count(*) = 9"

@@ -275,3 +275,96 @@ def test_cones_against_all_pairs(spark):
     r, c = np.indices(z.shape)
     top = np.max([z[a, b] + 20 - np.tan(np.radians(30)) * np.hypot(r - a, c - b) for a, b in spots], 0)
     np.testing.assert_allclose(got, np.where(np.isnan(z), np.nan, np.maximum(top - z, 0)), atol=1e-9)
+
+
+def test_exact_sweep_is_the_rays():
+    from gridloom.operators import sight
+
+    for seed, gaps in ((1, False), (2, False), (3, True)):
+        z = terrain(24, 34, seed, gaps) if gaps else terrain(21, 26, seed, False)
+        for spot in ((0, 0), (10, 12), (20, 25), (5, 0)):
+            for target in (0.0, 15.0):
+                got, want = sight.pderl(z, *spot, 10.0, target), sight.exact_by_rays(z, *spot, 10.0, target)
+                if gaps:  # behind a gap the broken line has a hole, where rays see the whole cell beside it
+                    assert np.nanmean(got == want) > 0.97
+                else:
+                    np.testing.assert_array_equal(got, want)
+
+
+def test_interpolated_sweep():
+    from gridloom.operators import sight
+
+    assert (sight.xdraw(np.zeros((9, 11)), 4, 5) == 1).all()
+    wall = np.zeros((9, 11))
+    wall[:, 7] = 50
+    seen = sight.xdraw(wall, 4, 3, 2.0)
+    assert (seen[:, :8] == 1).all() and (seen[:, 8:] == 0).all()
+    r, c = np.indices((30, 30))
+    hills = 20 * np.sin(r / 5) + 20 * np.cos(c / 6)
+    assert (sight.xdraw(hills, 15, 15, 5.0) == sight.pderl(hills, 15, 15, 5.0)).mean() > 0.93
+
+
+def test_facet_flow_on_planes():
+    r, c = np.indices((9, 12)).astype(float)
+    np.testing.assert_allclose(kn.facet_accumulation(100 - c), c, atol=1e-9)
+    np.testing.assert_allclose(kn.facet_accumulation(100 - r - c)[1:-1, 1:-1], np.minimum(r, c)[1:-1, 1:-1], atol=1e-9)
+    z = terrain(20, 20, 4, False)
+    acc = kn.facet_accumulation(kn.priority_flood(z, 1e-3))
+    assert acc.min() >= 0 and acc.max() < z.size
+
+
+def test_sibson_reproduces_planes_and_uses_neighbours_only():
+    rng = np.random.default_rng(2)
+    p = rng.uniform(-1, 1, (40, 2))
+    plane = 3 * p[:, 0] - 2 * p[:, 1] + 1
+    for x, y in rng.uniform(-0.4, 0.4, (20, 2)):
+        w = points.sibson(x, y, p)
+        assert abs(w @ plane / w.sum() - (3 * x - 2 * y + 1)) < 1e-9 and (w >= 0).all() and 3 <= (w > 0).sum() < 14
+
+
+def test_triangles_have_empty_circles_and_interpolate_planes(spark):
+    rng = np.random.default_rng(3)
+    p = np.round(rng.uniform(0, 10, (60, 2)), 3)
+    t = points.delaunay(p)
+    for a, b, c in p[t]:
+        m = 2 * np.array([b - a, c - a])
+        mid = np.linalg.solve(m, [b @ b - a @ a, c @ c - a @ a])
+        assert (np.hypot(*(p - mid).T) >= np.hypot(*(a - mid)) - 1e-7).all()
+    table = spark.createDataFrame([(i, float(x), float(y), float(2 * x - y)) for i, (x, y) in enumerate(p)], "id long, x double, y double, value double")
+    spots = spark.createDataFrame([(r, c, 0.5 + c, 0.5 + r) for r in range(10) for c in range(10)], "r int, c int, x double, y double")
+    whole = points.tin(spots, table, 20.0).toPandas()
+    ok = whole.dropna()
+    assert len(ok) > 60 and np.allclose(ok["v"], 2 * (0.5 + ok["c"]) - (0.5 + ok["r"]))
+    noisy = table.withColumn("value", F.sin("value"))
+    a, b = (points.tin(spots, noisy, r).toPandas().sort_values(["r", "c"])["v"].to_numpy() for r in (20.0, 6.0))
+    inner = ~np.isnan(a)
+    assert np.mean(np.isclose(a[inner], b[inner])) > 0.9
+    natural = points.natural_neighbours(spots.filter("r between 3 and 6 and c between 3 and 6"), table, 6.0, 30).toPandas()
+    assert np.allclose(natural["v"], 2 * (0.5 + natural["c"]) - (0.5 + natural["r"]), atol=1e-6)
+
+
+def test_directions_of_filled_surfaces_have_no_circles(spark):
+    for seed in range(6):
+        z = np.round(terrain(30, 28, seed, False) / 15)  # wide flats
+        f = kn.priority_flood(z)
+        d = kn.d8(f)
+        assert len(kn.downstream_order(kn.receivers(d))) == z.size
+    with pytest.raises(ValueError, match="circle"):
+        graph.accumulate(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (3, 1, 1.0)], "id long, to long, len double"))
+
+
+def test_colours_and_images(spark):
+    import struct
+    import zlib
+
+    from gridloom.sources import png
+
+    z = grid(spark, np.array([[0.0, 1.0], [np.nan, 0.5]]))
+    got = {(r.r, r.c): (r.red, r.green, r.blue, r.opacity) for r in png.coloured(z, "terrain").collect()}
+    assert got == {(0, 0): (34, 139, 34, 255), (0, 1): (255, 255, 255, 255), (1, 0): (0, 0, 0, 0), (1, 1): (220, 200, 80, 255)}
+    (image,) = png.images(png.coloured(z, "grayscale")).collect()
+    data = bytes(image.content)
+    assert data[:8] == b"\x89PNG\r\n\x1a\n" and struct.unpack(">II", data[16:24]) == (2, 2)
+    (size,) = struct.unpack(">I", data[33:37])
+    rows = zlib.decompress(data[41 : 41 + size])
+    assert rows == bytes([0, 0, 0, 0, 255, 255, 255, 255, 255, 0, 0, 0, 0, 0, 128, 128, 128, 255])
