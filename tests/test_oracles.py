@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -13,11 +14,13 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "zonal_statistics", "slope_degrees", "focal_median_circular", "tpi", "vrm", "morph_top_hat", "ndvi", "histogram_match", "mann_kendall",
     "global_morans_i", "class_metrics", "hand", "landform_classification", "idw", "wgs84_to_utm", "resample_bilinear", "zonal_join_region",
+    "read_geotiff_window", "read_cog_overview", "read_geoparquet", "overlay_union", "overlay_difference", "dissolve", "convex_hull", "buffer_geometry",
+    "rasterize_polygons", "clip_raster_by_polygon", "terrain_all", "wetness_from_surface", "pipeline_features", "raster_to_rgba_terrain", "detect_band_type",
 ]
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "dtype") else v
 
