@@ -32,7 +32,7 @@ def terrain_all(s, d) -> DataFrame:
 
 
 PREPARED = "y AS (SELECT *" + "".join(f", CASE WHEN full9 THEN {t} END {k}" for k, t in sf.needed(" ".join(PARTS.values()), PREP).items()) + " FROM z)"
-WIDE = "tp AS (SELECT m.r, m.c, CASE WHEN m.v IS NOT NULL AND count(n.v) = 441 THEN m.v - (sum(n.v) - m.v) / (count(n.v) - 1) END tpi FROM g m JOIN g n ON abs(n.r - m.r) <= 10 AND abs(n.c - m.c) <= 10 GROUP BY m.r, m.c, m.v)"
+WIDE = "tp AS (SELECT m.r, m.c, CASE WHEN m.v IS NOT NULL AND count(*) = 441 THEN m.v - (sum(n.v) - m.v) / (count(n.v) - 1) END tpi FROM g m JOIN g n ON abs(n.r - m.r) <= 10 AND abs(n.c - m.c) <= 10 GROUP BY m.r, m.c, m.v)"
 register(
     "terrain_all", lambda s, d: rounded(terrain_all(s, d), *PARTS, "tpi"),
     with_("g", nine(), PREPARED, WIDE) + "SELECT y.r, y.c, " + ", ".join(f"{r6(f'CASE WHEN full9 THEN {t} END')} AS {n}" for n, t in PARTS.items()) + f", {r6('tpi')} AS tpi FROM y LEFT JOIN tp ON y.r = tp.r AND y.c = tp.c",
@@ -93,7 +93,7 @@ def features(s, d) -> DataFrame:
 FEATURES = with_(
     "g", "bands", nine(),
     f"sl AS (SELECT r, c, CASE WHEN full9 THEN {sf.slope().replace('gx', sf.horn()[0]).replace('gy', sf.horn()[1])} END slope FROM z)",
-    "tp AS (SELECT m.r, m.c, CASE WHEN m.v IS NOT NULL AND count(n.v) = 49 THEN m.v - (sum(n.v) - m.v) / (count(n.v) - 1) END tpi FROM g m JOIN g n ON abs(n.r - m.r) <= 3 AND abs(n.c - m.c) <= 3 GROUP BY m.r, m.c, m.v)",
+    "tp AS (SELECT m.r, m.c, CASE WHEN m.v IS NOT NULL AND count(*) = 49 THEN m.v - (sum(n.v) - m.v) / (count(n.v) - 1) END tpi FROM g m JOIN g n ON abs(n.r - m.r) <= 3 AND abs(n.c - m.c) <= 3 GROUP BY m.r, m.c, m.v)",
 )
 register(
     "pipeline_features", lambda s, d: rounded(features(s, d), "slope", "tpi", *INDICES),
