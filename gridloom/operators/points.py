@@ -6,6 +6,7 @@ search radius reaches the bins around, so a join is on equal keys.
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.geo import centre_of, pixel_of
-from gridloom.plans.lineage import workers_see_package
+from gridloom.plans.lineage import workers_see_package, written
 
 
 def cells(spark, rows: int, cols: int, x0: float, y0: float, w: float, h: float) -> DataFrame:
@@ -221,39 +222,120 @@ def delaunay(p: np.ndarray) -> np.ndarray:
     return tri[(tri < n).all(1)]
 
 
+def _parts(a: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Barycentric weights of ``q`` (2,) in triangles ``a`` (n, 3, 2); minus infinity where a triangle is flat."""
+    (x1, y1), (x2, y2), (x3, y3) = ((a[:, k] - q).T for k in range(3))
+    d = (y2 - y3) * (x1 - x3) + (x3 - x2) * (y1 - y3)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        u, v = -((y2 - y3) * x3 + (x3 - x2) * y3) / d, -((y3 - y1) * x3 + (x1 - x3) * y3) / d
+    return np.where((d == 0)[:, None], -np.inf, np.stack([u, v, 1 - u - v], 1))
+
+
+def triangle_at(q: np.ndarray, p: np.ndarray, t: list[int]) -> tuple[list[int], np.ndarray, float]:
+    """The Delaunay triangle of ``p`` that holds ``q``, from any triangle ``t`` that does; its plane over the paraboloid round
+    ``q`` (a point is in the circle where its squared distance is below the plane) and the step that counts as a tie.
+
+    The simplex method: the point deepest in the circle enters, the corner whose weight falls to nothing first leaves.
+    Points on one circle are cut like a fan from the smallest, so that all cells between them see the same triangles.
+    """
+    p = p - q
+    cost, one = (p * p).sum(1), np.ones(len(p))
+    for turn in range(100_000):
+        m = np.stack([p[t, 0], p[t, 1], one[t]])
+        plane = np.linalg.solve(m.T, cost[t])
+        rest, tie = cost - (p @ plane[:2] + plane[2]), 1e-11 * float(cost[t].max())
+        below = np.flatnonzero(rest < -tie)
+        if not len(below):
+            break
+        enter = int(below[0] if turn > 500 else rest.argmin())  # the smallest number cannot run in circles
+        fall, have = np.linalg.solve(m, [*p[enter], 1.0]), np.maximum(np.linalg.solve(m, [0.0, 0.0, 1.0]), 0.0)
+        go = [k for k in range(3) if fall[k] > 1e-12]
+        least = min(have[k] / fall[k] for k in go)
+        t[min((k for k in go if have[k] / fall[k] <= least), key=lambda k: t[k])] = enter
+    ring = np.flatnonzero(np.abs(rest) <= tie)
+    if len(ring) > 3:
+        ring = ring[np.argsort(np.arctan2(p[ring, 1] - plane[1] / 2, p[ring, 0] - plane[0] / 2))]
+        ring = np.roll(ring, -int(np.lexsort((p[ring, 1], p[ring, 0]))[0]))
+        fan = np.array([(ring[0], i, j) for i, j in zip(ring[1:], ring[2:])])
+        t = fan[_parts(p[fan], np.zeros(2)).min(1).argmax()].tolist()
+    return t, plane, tie
+
+
+def _hull(points: DataFrame) -> np.ndarray:
+    """The corners of all points: of each batch first, of what those leave on the driver."""
+
+    def part(batches):
+        held: list[tuple[float, float]] = []
+        for b in batches:
+            held = convex_hull(held + list(zip(b["x"].tolist(), b["y"].tolist())))
+        yield pd.DataFrame(held, columns=["x", "y"], dtype=float)
+
+    return np.array(convex_hull([tuple(r) for r in points.select("x", "y").mapInPandas(part, "x double, y double").collect()]), float).reshape(-1, 2)
+
+
 def tin(grid: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """(r, c, v): linear over the Delaunay triangles of the points; null outside their hull.
+    """(r, c, v): linear over the Delaunay triangles of all points; null outside their hull.
 
-    Cells are dealt in squares of four radii; each square triangulates the points within ``radius`` of it, which
-    gives the triangles of all points wherever their circles are no wider than that.
+    Only the triangles that hold cells are made. Each cell starts from the nearest points in eight directions (within ``radius``,
+    or nearer where points are many) and a triangle of the hull; in each round the circles of the triangles meet
+    all points by bins, the deepest in eight directions are taken in, and cells whose circles hold no other point are done.
     """
     workers_see_package(grid.sparkSession)
-    side = 4 * radius
-    at = lambda c: F.floor(F.col(c) / side).cast("long")
-    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - radius) / side), F.floor((F.col(c) + radius) / side)))
-    cells_ = grid.select("r", "c", "x", "y", at("x").alias("bx"), at("y").alias("by"))
-    p = points.filter("value is not null").groupBy("x", "y").agg(F.avg("value").alias("value"))
-    p = p.withColumn("bx", near("x")).withColumn("by", near("y"))
-
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = np.full(len(left), np.nan)
-        if len(left) and len(right) > 2:
-            right = right.sort_values(["x", "y"])
-            q, v = right[["x", "y"]].to_numpy(float), right["value"].to_numpy(float)
-            xy = left[["x", "y"]].to_numpy(float)
-            for t in delaunay(q):
-                a, b, c = q[t]
-                box = (xy >= q[t].min(0) - 1e-12).all(1) & (xy <= q[t].max(0) + 1e-12).all(1) & np.isnan(out)
-                d = (b[1] - c[1]) * (a[0] - c[0]) + (c[0] - b[0]) * (a[1] - c[1])
-                if not box.any() or d == 0:
-                    continue
-                s = xy[box] - c
-                u, w = ((b[1] - c[1]) * s[:, 0] + (c[0] - b[0]) * s[:, 1]) / d, ((c[1] - a[1]) * s[:, 0] + (a[0] - c[0]) * s[:, 1]) / d
-                ok = (u >= -1e-10) & (w >= -1e-10) & (u + w <= 1 + 1e-10)
-                out[np.flatnonzero(box)[ok]] = (u * v[t[0]] + w * v[t[1]] + (1 - u - w) * v[t[2]])[ok]
-        return pd.DataFrame({"r": left["r"], "c": left["c"], "v": pd.Series(out, index=left.index)})
+    p = written(points.filter("value is not null and not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.avg("value").alias("value")))
+    n, x0, y0, x1, y1 = p.agg(F.count("x"), F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    hull = _hull(p)
+    if len(hull) < 3:
+        return grid.select("r", "c", F.lit(None).cast("double").alias("v"))
+    corners = {(r["x"], r["y"]): r["value"] for r in p.join(F.broadcast(grid.sparkSession.createDataFrame(pd.DataFrame(hull, columns=["x", "y"]))), ["x", "y"]).collect()}
+    tops = np.array([corners[tuple(q)] for q in hull.tolist()])
+    start = min(radius, math.sqrt(64 * max((x1 - x0) * (y1 - y0), 1e-300) / n / math.pi))
+    side = max(start, max(x1 - x0, y1 - y0) / 256)
+    sector = lambda dx, dy: F.floor(F.atan2(dy, dx) * (4 / math.pi)).alias("k")
+    spot = F.struct(F.col("px").alias("x"), F.col("py").alias("y"), "value")
+    listed = lambda df: df.groupBy("r", "c").agg(F.collect_list("s").alias("new"))  # noqa: E731  at most nine a cell
+    kinds = "r int, c int, x double, y double, near array<struct<x: double, y: double, value: double>>, a double, b double, z double, tie double, v double, done boolean"
 
-    return cells_.groupBy("bx", "by").cogroup(p.groupBy("bx", "by")).applyInPandas(one, "r int, c int, v double")
+    def solve(batches):
+        for frame in batches:
+            out = []
+            for r, c, x, y, near, new in frame[["r", "c", "x", "y", "near", "new"]].itertuples(index=False):
+                q = np.array([x, y])
+                old = {} if near is None else {(s["x"], s["y"]): s["value"] for s in near}
+                more = {} if new is None else {(s["x"], s["y"]): s["value"] for s in new}
+                held = old | more
+                fan = np.stack([np.zeros(len(hull) - 2, int), np.arange(1, len(hull) - 1), np.arange(2, len(hull))], 1)
+                inside = _parts(hull[fan], q).min(1)
+                first = fan[inside.argmax()]
+                if inside.max() < -1e-10:
+                    out.append((r, c, x, y, None, None, None, None, None, None, True))
+                    continue
+                for i in first:
+                    held[tuple(hull[i].tolist())] = float(tops[i])
+                spots = list(held)
+                t, plane, tie = triangle_at(q, np.array(spots), [spots.index(tuple(hull[i].tolist())) for i in first])
+                w = _parts(np.array([[spots[i] for i in t]]), q)[0]
+                v = float(w @ [held[spots[i]] for i in t])
+                done = near is not None and len(held) == len(old)
+                out.append((r, c, x, y, [{"x": s[0], "y": s[1], "value": held[s]} for s in spots], *map(float, plane), tie, v, done))
+            yield pd.DataFrame(out, columns=["r", "c", "x", "y", "near", "a", "b", "z", "tie", "v", "done"])
+
+    near = pairs_within(grid, p.withColumn("id", F.lit(0)), start).groupBy("r", "c", sector(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).agg(F.min_by(spot, F.struct("d", "px", "py")).alias("s"))
+    state = grid.select("r", "c", "x", "y").join(listed(near), ["r", "c"], "left").withColumn("near", F.lit(None).cast("array<struct<x: double, y: double, value: double>>"))
+    parts = []
+    while True:
+        state = written(state.mapInPandas(solve, kinds))
+        parts.append(state.filter("done").select("r", "c", "v"))
+        state = state.filter("not done")
+        if state.isEmpty():
+            return functools.reduce(DataFrame.unionByName, parts)
+        cx, cy, reach = F.col("x") + F.col("a") / 2, F.col("y") + F.col("b") / 2, F.sqrt(F.col("z") + (F.col("a") ** 2 + F.col("b") ** 2) / 4) * (1 + 1e-9)
+        span = lambda m, lo, hi: F.explode(F.sequence(F.floor(F.greatest(m - reach, F.lit(lo)) / side), F.floor(F.least(m + reach, F.lit(hi)) / side)))  # noqa: E731, B023
+        rings = state.withColumn("bx", span(cx, x0, x1)).withColumn("by", span(cy, y0, y1)).select("r", "c", "x", "y", "a", "b", "z", "tie", "bx", "by")
+        met = rings.join(p.select(F.col("x").alias("px"), F.col("y").alias("py"), "value", F.floor(F.col("x") / side).alias("bx"), F.floor(F.col("y") / side).alias("by")), ["bx", "by"])
+        dx, dy = F.col("px") - F.col("x"), F.col("py") - F.col("y")
+        depth = dx * dx + dy * dy - (F.col("a") * dx + F.col("b") * dy + F.col("z"))
+        met = met.withColumn("depth", depth).filter("depth <= tie").groupBy("r", "c", sector(dx, dy)).agg(F.min_by(spot, F.struct("depth", "px", "py")).alias("s"))
+        state = state.select("r", "c", "x", "y", "near").join(listed(met), ["r", "c"], "left")
 
 
 def swath(points_on: DataFrame, baseline: list[tuple[float, float]], half_width: float) -> DataFrame:

@@ -368,3 +368,25 @@ def test_colours_and_images(spark):
     (size,) = struct.unpack(">I", data[33:37])
     rows = zlib.decompress(data[41 : 41 + size])
     assert rows == bytes([0, 0, 0, 0, 255, 255, 255, 255, 255, 0, 0, 0, 0, 0, 128, 128, 128, 255])
+
+
+def test_triangles_of_many_points_are_those_of_all(spark):
+    rng = np.random.default_rng(6)
+    p = np.concatenate([rng.normal(0, 1, (700, 2)), rng.uniform(-9, 9, (40, 2))])
+    v = rng.normal(0, 1, len(p))
+    table = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))], "id long, x double, y double, value double")
+    spots = points.cells(spark, 12, 12, -9.0, 9.0, 1.5, -1.5)
+    want = np.full((12, 12), np.nan)
+    for t in points.delaunay(p):
+        for r in range(12):
+            for c in range(12):
+                w = points._parts(p[t][None], np.array([-8.25 + 1.5 * c, 8.25 - 1.5 * r]))[0]
+                if w.min() >= 0:
+                    want[r, c] = w @ v[t]
+    for radius in (0.5, 4.0):  # squares of four radii, less than the circles of the outer triangles
+        np.testing.assert_allclose(array(points.tin(spots, table, radius), (12, 12)), want, atol=1e-9)
+    lattice = spark.createDataFrame([(8 * i + j, float(i), float(j), float((i * 7 + j * 3) % 5)) for i in range(8) for j in range(8)], "id long, x double, y double, value double")
+    inner = points.cells(spark, 14, 14, 0.0, 7.0, 0.5, -0.5)
+    got = points.tin(inner, lattice, 2.0).toPandas()
+    assert len(got) == 196 and got["v"].notna().all()
+    assert points.tin(inner, lattice.filter("x = 1"), 2.0).filter("v is not null").count() == 0
