@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -350,8 +350,9 @@ def overlay_layers(left: DataFrame, right: DataFrame, how: str, cell: float) ->
 
 
 def dissolved(df: DataFrame, key: str, cell: float | None = None) -> DataFrame:
-    """(key, region): the union of the regions of each key; first within cells of a coarse grid, if given, so
-    that a key with most of the rows is spread over tasks, then of what those give."""
+    """(key, region): the union of the regions of each key. Equal regions of a key are one. If a cell is given, first within
+    pieces of about 200 rows of the cells of a coarse grid, so that neither a key nor a cell with most of the rows is one
+    task, then of what those give within the cells, and of what these give."""
     workers_see_package(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
@@ -362,9 +363,19 @@ def dissolved(df: DataFrame, key: str, cell: float | None = None) -> DataFrame:
         rows = t.select([key, "region"]).to_pylist()
         return pa.Table.from_pylist([{key: rows[0][key], "region": value_of(dissolve([rings_of(r["region"]) for r in rows]))}], schema=schema)
 
+    def within_cell(t: pa.Table) -> pa.Table:
+        got = one(t)
+        return got.append_column("_x", t["_x"].slice(0, 1)).append_column("_y", t["_y"].slice(0, 1))
+
+    df = df.select(key, "region").dropDuplicates([key, "region"])
     if cell is not None:
         x0, y0, *_ = _extent("region")
-        df = df.withColumns({"_x": F.floor(x0 / cell), "_y": F.floor(y0 / cell)}).groupBy(key, "_x", "_y").applyInArrow(one, kinds)
+        df = df.withColumns({"_a": x0, "_b": y0}).withColumns({"_x": F.floor(F.col("_a") / cell), "_y": F.floor(F.col("_b") / cell)})
+        at = Window.partitionBy(key, "_x", "_y")
+        # strips of a cell: near rows meet first, as their unions have fewer edges
+        df = df.withColumn("_n", F.ceil(F.count("*").over(at) / 200)).withColumn("_p", F.floor((F.col("_a") / cell - F.col("_x")) * F.col("_n")))
+        df = df.groupBy(key, "_x", "_y", "_p").applyInArrow(within_cell, f"{kinds}, _x long, _y long")
+        df = df.groupBy(key, "_x", "_y").applyInArrow(one, kinds)
     return df.select(key, "region").groupBy(key).applyInArrow(one, kinds)
 
 

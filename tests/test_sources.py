@@ -162,6 +162,18 @@ def test_layers_meet_once(spark):
     assert {r.k: round(r.v, 9) for r in one} == {k: round(pg.area(pg.dissolve([pg.rings_of(x) for i, x in a if i % 2 == k])), 9) for k in (0, 1)}
 
 
+
+def test_equal_and_crowded_regions_dissolve_in_bounded_pieces(spark):
+    import time
+
+    where = lambda n: spark.range(n).select((F.col("id") % 2).alias("k"), pg.box(F.col("id") % 30, F.col("id") % 7, F.col("id") % 30 + 3, F.col("id") % 7 + 2).alias("region"))
+    start = time.time()
+    got = {r.k: r.v for r in pg.dissolved(where(40_000), "k", 8.0).select("k", F.round(pg.region_area("region"), 6).alias("v")).collect()}
+    assert time.time() - start < 60  # 40,000 rows of 210 places
+    held = {k: {(x + i, y + j) for n in range(420) if n % 2 == k for x, y in [(n % 30, n % 7)] for i in range(3) for j in range(2)} for k in (0, 1)}
+    assert got == {k: float(len(v)) for k, v in held.items()}
+
+
 def test_rasterized_regions_hold_the_middles(spark):
     rng = random.Random(3)
     regions = [(i, float(i + 1), pg.value_of([star(rng, rng.uniform(0, 9), rng.uniform(0, 9), 9), star(rng, 4, 4, 5)])) for i in range(4)]
