@@ -414,3 +414,13 @@ def test_variogram_and_nearest_few_of_odd_rows(spark):
     assert got == {0: (1, 0.0, 0.0), 1: (2, 0.2, 4.0), 2: (2, 0.3, 2.25)}  # rows of one id are no pair; a null value counts, but adds nothing
     near = points.nearest_few(spark.createDataFrame([(0, 0, 0.0, 0.0)], "r int, c int, x double, y double"), p.filter("value is not null"), 1.0, 3).first().a
     assert [(round(a.d, 6), a.id) for a in near] == [(0.0, None), (0.141421, 1), (0.141421, 2)]
+
+
+def test_spline_by_rounds_is_the_solved_one(spark):
+    rng = np.random.default_rng(4)
+    p, v = rng.normal(0, 0.13, (2500, 2)), rng.normal(0, 0.12, 2500)
+    p[5] = p[6]
+    table = spark.createDataFrame([(i, float(x), float(y), float(z)) for i, ((x, y), z) in enumerate(zip(p, v))], "id long, x double, y double, value double")
+    spots = points.cells(spark, 6, 6, -0.3, 0.3, 0.1, -0.1)
+    got, want = (array(points.thin_plate(spots, table, 1e-3, most), (6, 6)) for most in (2000, 2500))
+    np.testing.assert_allclose(got, want, atol=2e-8)
